@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, quality_rules
-from .common import table
+from . import bpe, language_id, mixing, packing, quality_model, quality_rules, toxicity
+from .common import bucket_of, table
 
 #: The rank file of the tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is kept from learning; false for a null doc_id, which is never learnt from either."""
+    return F.coalesce(bucket_of("doc_id", modulus) == remainder, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.grade(docs, quality_model.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.rate(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op8_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -38,6 +58,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_quality_rules": op3_quality_rules,
+        "op5_language_id": op5_language_id,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_toxicity": op7_toxicity,
         "op8_pack_tokens": op8_pack_tokens,
     }
 
