@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, packing, quality_model, quality_rules, toxicity
+from . import bpe, language_id, mixing, packing, quality_model, quality_rules, toxicity, vector_dedup
 from .common import bucket_of, table
 
 #: The rank file of the tokenizer.
@@ -53,6 +53,10 @@ def op8_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_toxicity": op7_toxicity,
         "op8_pack_tokens": op8_pack_tokens,
+        "op9_embedding_neardup": op9_embedding_neardup,
     }
 
 
