@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, packing, quality_model, quality_rules, toxicity, vector_dedup
+from . import bpe, language_id, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, vector_dedup
 from .common import bucket_of, table
 
 #: The rank file of the tokenizer.
@@ -57,6 +57,10 @@ def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "link_.class_id", "link_.n_links", "link_.kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_pack_tokens": op8_pack_tokens,
         "op9_embedding_neardup": op9_embedding_neardup,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
