@@ -239,11 +239,12 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     name = "v" + hashlib.md5((path + pattern).encode()).hexdigest()
     fields = docs.select(*[f"`{c}`" for c in keep]).schema
+    text = f"k{list(keep).index('text')}" if "text" in keep else "text_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(ranks.value, pattern, name)
-        for batch in small_batches(batches, "text_"):
-            ids = work.encode(column(batch, "text_").to_pylist())
+        for batch in small_batches(batches, text):
+            ids = work.encode(column(batch, text).to_pylist())
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.binary())]
             if decoded:
                 columns.append(pa.array(work.decode(ids), pa.binary()))
@@ -252,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text_"))
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias(text)]))
     schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField(n, T.BinaryType()) for n in ["ids_", "decoded_"][: 1 + decoded]])
     done = given.mapInArrow(run, schema)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids_").alias("ids"), *([F.col("decoded_").alias("decoded")] if decoded else []))

@@ -77,16 +77,18 @@ def score(docs: DataFrame, model, out: str, keep: Sequence[str]) -> DataFrame:
     """docs' columns `keep` and what model(texts) gives: a list of columns as in the schema text `out`."""
     fields = docs.select(*[f"`{c}`" for c in keep]).schema
 
+    # A text that is kept anyway goes to the workers once.
+    text = f"k{list(keep).index('text')}" if "text" in keep else "text_"
     names = [f.split(" ")[0] for f in out.split(", ")]
     kinds = {"double": pa.float64(), "int": pa.int32(), "string": pa.string()}
     types = [kinds[f.split(" ")[1]] for f in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text_"):
-            got = model(column(batch, "text_").to_pylist())
+        for batch in small_batches(batches, text):
+            got = model(column(batch, text).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(g, t) for g, t in zip(got, types, strict=True)], [f"k{i}" for i in range(len(keep))] + names)
 
-    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("text_"))
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias(text)]))
     schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)] + list(T._parse_datatype_string(out)))
     return given.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
 

@@ -60,9 +60,9 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and the columns in `keep`)."""
-    extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, keep: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, and the columns in `keep` under `names`."""
+    extra = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")))
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
@@ -75,11 +75,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     while bits > 0 and bound.filter("open").limit(1).count():
         bits, bound = _refine(sized, bound, bits)
     at = bound.select(F.col("source").alias("of"), "source_size", "target", "passes", "threshold")
-    # The copies of texts that are kept ride on a second reading of the documents, not on the staged table.
+    # Kept columns, texts among them, come from a second reading of the documents, not from the staged table.
     rows = sized if not keep else docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h"), *extra)
-    taken = F.col("size") * (F.col("passes") + (F.col("h") <= F.col("threshold")).cast("long"))
+    copies = F.col("passes") + (F.col("h") <= F.col("threshold")).cast("long")
     joined = rows.join(small(at), F.col("source").eqNullSafe(F.col("of")), "left")
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    given = [F.col(f"kept_{i}").alias(n) for i, n in enumerate(names or keep)]
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), *given)
 
 
 def _refine(sized: DataFrame, bound: DataFrame, bits: int) -> tuple[int, DataFrame]:
@@ -141,7 +142,8 @@ thresholds AS (
   SELECT source, CASE WHEN e IS NULL THEN top WHEN abs(e.upto - rest) <= abs(rest - (e.upto - e.n)) THEN e.h ELSE e.h - 1 END AS threshold
   FROM (SELECT ends.*, rest FROM ends JOIN rests ON ends.source IS NOT DISTINCT FROM rests.source))
 SELECT doc_id, size, source_size, target,
-       CAST(size * (passes + CASE WHEN h <= coalesce(threshold, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (passes + CASE WHEN h <= coalesce(threshold, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(passes + CASE WHEN h <= coalesce(threshold, -1) THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM sized JOIN rests ON sized.source IS NOT DISTINCT FROM rests.source
 LEFT JOIN thresholds ON sized.source IS NOT DISTINCT FROM thresholds.source
 """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, vector_dedup
+from . import bpe, language_id, lm, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, vector_dedup
 from .common import bucket_of, table
 
 #: The rank file of the tokenizer.
@@ -61,11 +61,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "link_.class_id", "link_.n_links", "link_.kept")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_quality_rules": op3_quality_rules,
+        "op4_lm_score": op4_lm_score,
         "op5_language_id": op5_language_id,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_toxicity": op7_toxicity,
