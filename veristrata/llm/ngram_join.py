@@ -34,6 +34,8 @@ from .components import components, local_roots
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.99999, 160
 #: Nodes of a block of a bucket, and columns of an incidence matrix at a time.
 BLOCK, COLUMNS = 256, 4096
+#: Bytes of text that are hashed at once.
+TEXT_BYTES = 1 << 20
 
 
 def banding(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -128,7 +130,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     texts = numbered.select("uid", col("doc_id").cast("long").alias("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             found, at = grams(column(batch, "text"))
             has = np.flatnonzero(np.diff(at))
             if len(has):
@@ -142,7 +144,9 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 
     spread = nodes.select("node", F.explode("sig").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stage(nodes.select("node", "sig", F.explode("sig").alias("bucket")).join(shared, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    # Signatures join again only where a bucket is shared: most buckets hold one node.
+    met = stage(spread.join(shared, "bucket").select("node", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    members = met.join(nodes.select("node", "sig"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "sig")
@@ -159,7 +163,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     active = stage(grouped(paired, keys, partnered, "bucket bigint, i int, j int, own int, node bigint"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             found, at = grams(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([column(batch, "uid"), pa.array([np.unique(found[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "grams"])
 
