@@ -34,9 +34,9 @@ from .common import column, small_batches
 
 #: Bytes of a piece from which on the heap merges it, and entries that a worker keeps.
 LONG_PIECE = 256
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 250_000
 #: Tokens that one decoding query takes.
-DECODE_TOKENS = 1_000_000
+DECODE_TOKENS = 300_000
 
 ENCODE = """
 WITH RECURSIVE state AS (
@@ -133,7 +133,7 @@ class Codec:
         self.ranks, self.find = ranks, pattern_for(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         merges = merge_table(ranks)  # noqa: F841  read by DuckDB
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocabulary = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [b.hex() for b in self.bytes_of.values()]})  # noqa: F841
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(ranks.value, pattern, name)
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 2 << 20):
             ids = work.encode(column(batch, text).to_pylist())
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.binary())]
             if decoded:
