@@ -34,7 +34,7 @@ from .common import column, small_batches
 
 #: Bytes of a piece from which on the heap merges it, and entries that a worker keeps.
 LONG_PIECE = 256
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 500_000
 #: Tokens that one decoding query takes.
 DECODE_TOKENS = 300_000
 
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(ranks.value, pattern, name)
-        for batch in small_batches(batches, text, 2 << 20):
+        for batch in small_batches(batches, text):
             ids = work.encode(column(batch, text).to_pylist())
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.binary())]
             if decoded:
