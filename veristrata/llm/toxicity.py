@@ -88,7 +88,9 @@ def _documents_with(docs: DataFrame, chosen: DataFrame, words: frozenset[str] |
     got = texts.mapInArrow(run, "label int, words array<string>")
     if words is None:  # document counts, for choosing the features
         return [(r["n"], r["w"]) for r in got.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "w").limit(FEATURES).collect()]
-    return sorted((r["label"], list(r["words"])) for r in got.collect())
+    # Joined words in Arrow columns: rows of Python lists would take the driver's memory many times.
+    table = got.select("label", F.array_join("words", " ").alias("words")).toArrow()
+    return sorted((label, text.split()) for label, text in zip(table["label"].to_pylist(), table["words"].to_pylist(), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
@@ -108,15 +110,18 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, pos
     counts = Counter(label for label, _ in rows)
     if not counts[1]:
         return ToxicityModel({}, -30.0)
-    x = np.zeros((len(rows), len(names)), np.float32)
-    y = np.array([label for label, _ in rows])
-    for i, (_, words) in enumerate(rows):
-        x[i, [at[w] for w in words]] = 1
-    here, there = (x[y == c].mean(0) if counts[c] else np.zeros(len(names)) for c in (1, 0))
+    # Shares first: only telling terms get a column, so the matrix stays small.
+    has = np.zeros((2, len(names)))
+    for label, words in rows:
+        has[label, [at[w] for w in words]] += 1
+    here, there = has[1] / counts[1], has[0] / max(1, counts[0])
     spread = here * (1 - here) / counts[1] + (there * (1 - there) + 1 / max(1, counts[0])) / max(1, counts[0])
-    telling = np.flatnonzero((here - there) / np.sqrt(np.maximum(spread, 1e-12)) >= MIN_Z)
-    telling = telling[here[telling] >= 3 * there[telling]]
-    names, x = [names[i] for i in telling], x[:, telling]
+    telling = np.flatnonzero(((here - there) / np.sqrt(np.maximum(spread, 1e-12)) >= MIN_Z) & (here >= 3 * there))
+    names = [names[i] for i in telling]
+    at = {w: i for i, w in enumerate(names)}
+    x, y = np.zeros((len(rows), len(names)), np.float32), np.array([label for label, _ in rows])
+    for i, (_, words) in enumerate(rows):
+        x[i, [at[w] for w in words if w in at]] = 1
     w = train(x[y == 1], x[y == 0], prior)
     return ToxicityModel({n: float(v) for n, v in zip(names, w[:-1], strict=True)}, float(w[-1]))
 
