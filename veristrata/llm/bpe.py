@@ -8,7 +8,8 @@ would take one step of the query for each merge, so they are merged by the same
 heap instead. Chunks and pieces that were seen before are kept by the Python worker, up to a
 bound; texts are then looked up and joined.
 
-Decoding. Token-position rows join the vocabulary and an ordered aggregation joins the bytes.
+Decoding. Token-position rows join the vocabulary, and an ordered aggregation joins the bytes of
+each block of rows, which are then cut where sequences end.
 
 Defined results: null and empty texts have no tokens and decode to nothing; ids out of the
 vocabulary are an error; other columns are ignored or, with `keep`, passed through.
@@ -34,25 +35,29 @@ from .common import column, small_batches
 
 #: Bytes of a piece from which on the heap merges it, and entries that a worker keeps.
 LONG_PIECE = 256
-KEPT_CHUNKS = 500_000
-#: Tokens that one decoding query takes.
-DECODE_TOKENS = 300_000
+KEPT = 400_000
+#: Tokens whose bytes one aggregate joins, and blocks of them that one decoding query takes.
+BLOCK, DECODE_BLOCKS = 16_384, 16
 
+#: White space before a space: there the pattern's matches do not start at each space.
+RUN_OF_SPACES = re.compile(r"\s ").search
+
+# The least rank and, among its places, the leftmost are the minimum of one number: a place is under 1024.
 ENCODE = """
 WITH RECURSIVE state AS (
   SELECT piece, list(token ORDER BY position) AS ids FROM positions GROUP BY piece
  UNION ALL
-  SELECT s.piece, s.ids[:b.best.i - 1] || [b.best.merged] || s.ids[b.best.i + 2:]
+  SELECT s.piece, s.ids[:b.best % 1024 - 1] || [(b.best // 1024)::INT] || s.ids[b.best % 1024 + 2:]
   FROM state s JOIN (
-    SELECT p.piece, min({'merged': m.merged, 'i': p.i}) AS best
+    SELECT p.piece, min(m.merged::BIGINT * 1024 + p.i) AS best
     FROM (SELECT piece, unnest(ids) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids) + 1)) AS i FROM state) p
     JOIN merges m ON m.l = p.l AND m.r = p.r
     GROUP BY p.piece) b ON b.piece = s.piece)
 SELECT piece, arg_min(ids, len(ids)) AS ids FROM state GROUP BY piece ORDER BY piece
 """
 DECODE = """
-SELECT t.doc, string_agg(v.hex, '' ORDER BY t.position) AS hex
-FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY t.doc ORDER BY t.doc
+SELECT string_agg(v.hex, '' ORDER BY t.position) AS hex
+FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY t.block ORDER BY t.block
 """
 
 
@@ -124,6 +129,23 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if live[i]]
 
 
+class Kept:
+    """What a worker remembers, in two generations: entries in use pass to the new one, the others go."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.before = most, {}, {}
+
+    def unmet(self, keys: Sequence[Sequence]) -> list:
+        """Keys not known; the caller adds them to `now`, where all other keys are then found."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        new = set().union(*keys).difference(self.now)
+        known = new & self.before.keys()
+        for k in known:
+            self.now[k] = self.before[k]
+        return list(new - known)
+
+
 class Codec:
     """Encodes and decodes within one Python worker."""
 
@@ -138,8 +160,11 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         vocabulary = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [b.hex() for b in self.bytes_of.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.db.execute("SET enable_progress_bar = false")
+        #: ids of the chunks met: as they are, and by what follows a leading space; and of pieces.
+        self.raw, self.spaced, self.pieces = Kept(KEPT // 4), Kept(KEPT), Kept(KEPT // 2)
+        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
 
     def contract(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
         """The ids of each piece."""
@@ -168,8 +193,6 @@ class Codec:
     def chunks_of(self, text: str) -> list[str]:
         """Parts of the text that the pattern splits alike alone: each starts with a space whose neighbours are no spaces."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return [text] if text else []
         out = [parts[0]] if parts[0] else []
         # A part that is empty or ends in white space runs into the next one.
         open_ = not parts[0] or parts[0][-1].isspace()
@@ -183,45 +206,46 @@ class Codec:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        known, split = self.chunks, [self.chunks_of(t) if t else [] for t in texts]
-        if len(known) > KEPT_CHUNKS:
-            known.clear()
-            self.pieces.clear()
-        new = {c for chunks in split for c in chunks if c not in known}
-        if new:
-            found = {c: self.find(c) for c in new}
-            pieces = list({p for ps in found.values() for p in ps if p not in self.pieces})
-            for p, ids in zip(pieces, self.contract([p.encode() for p in pieces]), strict=True):
-                self.pieces[p] = ids.astype("<u4").tobytes()
-            get = self.pieces.__getitem__
-            for c, ps in found.items():
-                known[c] = b"".join(map(get, ps))
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        raw, spaced = [], []
+        for t in texts:
+            if not t:
+                raw.append([])
+                spaced.append([])
+            elif RUN_OF_SPACES(t):
+                raw.append(self.chunks_of(t))
+                spaced.append([])
+            else:
+                first, *rest = t.split(" ")
+                raw.append([first] if first else [])
+                spaced.append(rest)
+        new_raw = self.raw.unmet(raw)
+        new_spaced = self.spaced.unmet(spaced)
+        if new_raw or new_spaced:
+            found = [(self.raw, c, self.find(c)) for c in new_raw] + [(self.spaced, c, self.find(" " + c)) for c in new_spaced]
+            asked = self.pieces.unmet([ps for _, _, ps in found])
+            for p, ids in zip(asked, self.contract([p.encode() for p in asked]), strict=True):
+                self.pieces.now[p] = ids.astype("<u4").tobytes()
+            get = self.pieces.now.__getitem__
+            for kept, c, ps in found:
+                kept.now[c] = b"".join(map(get, ps))
+        one, many = self.raw.now.__getitem__, self.spaced.now.__getitem__
+        return [b"".join(map(one, a)) + b"".join(map(many, b)) for a, b in zip(raw, spaced, strict=True)]
 
     def decode(self, ids: Sequence[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids, by ordered aggregation over token-position rows."""
-        out = [b""] * len(ids)
-        a = 0
-        while a < len(ids):
-            b, size = a, 0
-            while b < len(ids) and (b == a or size + len(ids[b]) // 4 <= DECODE_TOKENS):
-                size += len(ids[b]) // 4
-                b += 1
-            flat = np.frombuffer(b"".join(ids[a:b]), "<u4").astype(np.int32)
-            doc = np.repeat(np.arange(a, b, dtype=np.int32), [len(x) // 4 for x in ids[a:b]])
-            # Long sequences come in parts, so that one aggregate's state is bounded.
-            rows = pa.table({"doc": pa.array(doc), "position": pa.array(np.arange(len(flat), dtype=np.int32)), "token": pa.array(flat)})
-            parts: dict[int, list[str]] = {}
-            for at in range(0, rows.num_rows, DECODE_TOKENS):
-                self.db.register("tokens", rows.slice(at, DECODE_TOKENS))
-                for k, text in self.db.sql(DECODE).fetchall():
-                    parts.setdefault(k, []).append(text)
-                self.db.unregister("tokens")
-            for k, found in parts.items():
-                out[k] = bytes.fromhex("".join(found))
-            a = b
-        return out
+        """The bytes of each sequence of ids: token-position rows join the vocabulary, and an ordered aggregation joins each block's bytes."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        position = np.arange(len(flat), dtype=np.int32)
+        rows = pa.table({"block": pa.array(position // BLOCK), "position": pa.array(position), "token": pa.array(flat)})
+        parts = []
+        for at in range(0, rows.num_rows, DECODE_BLOCKS * BLOCK):
+            self.db.register("tokens", rows.slice(at, DECODE_BLOCKS * BLOCK))
+            parts += [bytes.fromhex(x) for (x,) in self.db.sql(DECODE).fetchall()]
+            self.db.unregister("tokens")
+        whole = b"".join(parts)
+        ends = np.append(0, np.cumsum(self.size[flat]))[np.cumsum([len(x) // 4 for x in ids])].tolist() if ids else []
+        if ends and ends[-1] != len(whole):
+            raise ValueError("ids out of the vocabulary")
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def codec(ranks: dict[bytes, int], pattern: str, name: str) -> Codec:
