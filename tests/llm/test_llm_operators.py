@@ -133,6 +133,15 @@ def test_model_is_a_distribution():
     assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
+def test_long_texts_are_learnt_from_start_to_end():
+    ids = np.arange(4000)
+    (whole,) = lm.runs_of(ids[:98], 4094, 100)
+    assert whole.tolist() == [4094, *range(98), 4094]
+    runs = lm.runs_of(ids, 4094, 400, 100)
+    assert len(runs) == 4 and sum(map(len, runs)) == 400
+    assert runs[0][0] == 4094 and runs[-1][-1] == 4094 and runs[1][0] > 1200
+
+
 def test_scores_equal_brute_force(spark, odd):
     rng = np.random.default_rng(4)
     docs = documents(spark, [*ODD, *[words_of(rng, 60) for _ in range(40)]])
