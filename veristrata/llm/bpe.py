@@ -193,16 +193,12 @@ class Codec:
     def chunks_of(self, text: str) -> list[str]:
         """Parts of the text that the pattern splits alike alone: each starts with a space whose neighbours are no spaces."""
         parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
         # A part that is empty or ends in white space runs into the next one.
-        open_ = not parts[0] or parts[0][-1].isspace()
-        for p in parts[1:]:
-            if open_ and out:
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-            open_ = not p or p[-1].isspace()
-        return out
+        starts = [0, *(i for i, p in enumerate(parts[:-1], 1) if p and not p[-1].isspace())]
+        if not parts[0] and len(parts) > 1:
+            starts[0] = 1  # the text begins with a space, which the next part brings along
+        out = [" ".join(parts[a:b]) for a, b in zip(starts, [*starts[1:], len(parts)], strict=True)]
+        return [c if a == 0 else " " + c for a, c in zip(starts, out, strict=True) if a or c]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
