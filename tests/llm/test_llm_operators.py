@@ -212,6 +212,16 @@ def test_best_fit_takes_the_fullest_row_that_holds_it():
             room[row[i]] = room.get(row[i], 32) - lengths[i]
 
 
+def test_long_white_space_is_encoded():
+    ranks, pattern = bpe.read_ranks(PATH), PATTERN
+    encode, bytes_of = packing.Library(ranks, pattern, "test"), {i: b for b, i in ranks.items()}
+    for text in ("a" + " " * 3000 + "b", " \n" * 600_000):
+        got = encode(text)
+        assert b"".join(map(bytes_of.__getitem__, got.tolist())).decode() == text
+        if len(text) < 10_000:
+            assert got.tolist() == list(encode.fast(text))
+
+
 def test_packing_loses_nothing(spark, odd, none):
     encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
     parts = {}

@@ -1,6 +1,6 @@
 """Packing token ids into rows of fixed length by best-fit decreasing.
 
-Documents are encoded, each with an end token, and cut into segments of at most `length`
+Documents are encoded by the tokenizer's library, each with an end token, and cut into segments of at most `length`
 ids, so nothing is lost. Segments are dealt at random (by hash) to shards of a bounded
 number of segments; within a shard the longest segment goes first, each into the fullest
 row that still holds it. That row is found in a segment tree over the room left, in
@@ -14,6 +14,10 @@ repeated rows are packed each on their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import column, grouped, stage
+from .common import column, grouped, small_batches, stage
 
 #: Segments that a shard holds on average: what a task sorts and keeps.
 SHARD_SEGMENTS = 8192
 #: Ids a row, the id that ends a document and fills a row's rest.
 LENGTH, END_ID = 2048, 50256
+#: White space that the library's matcher might not get through.
+LONG_SPACE = re.compile(r"\s{1000}").search
 
 
 class RoomTree:
@@ -82,21 +88,59 @@ def best_fit(lengths: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, part, n, ids): each document's ids with the end token, cut into parts of at most `length`."""
-    encoded = bpe.encode(docs, path, pattern)
-    ended = F.concat(F.coalesce("ids", F.lit(b"")), F.lit(int(end_id).to_bytes(4, "little")))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("all_ids") - 1) / (4 * length)).cast("int")), lambda i: F.struct(i.alias("part"), F.substring(F.col("all_ids"), i * (4 * length) + 1, F.lit(4 * length)).alias("ids")))
-    return encoded.select("doc_id", ended.alias("all_ids")).select("doc_id", F.explode(parts).alias("s")).select("doc_id", "s.part", (F.length("s.ids") / 4).cast("int").alias("n"), "s.ids")
+class Library:
+    """The tokenizer's library, within one Python worker; the own codec where its matcher runs out of stack."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, name: str) -> None:
+        import tiktoken
+
+        self.ranks, self.pattern, self.name = ranks, pattern, name
+        self.fast = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> np.ndarray:
+        if LONG_SPACE(text):
+            return np.frombuffer(bpe.codec(self.ranks, self.pattern, self.name).encode([text])[0], "<u4")
+        return np.array(self.fast(text), "<u4")
+
+
+def library(ranks: dict[bytes, int], pattern: str, name: str) -> Library:
+    home = sys.modules.setdefault("_veristrata_libraries", types.ModuleType("_veristrata_libraries"))
+    if not hasattr(home, name):
+        setattr(home, name, Library(ranks, pattern, name))
+    return getattr(home, name)
+
+
+def segments(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID) -> tuple[DataFrame, np.dtype]:
+    """(doc_id, part, n, ids): each document's ids with the end token, cut into parts of at most `length`; and the ids' type, the least that holds them."""
+    ranks = bpe.read_ranks(path)
+    kind = np.dtype("<u2" if max(end_id, *ranks.values()) < 1 << 16 else "<u4")
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    name = "p" + hashlib.md5((path + pattern).encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = library(shared.value, pattern, name)
+        for batch in small_batches(batches, "text", 1 << 20):
+            own, part, n, ids = [], [], [], []
+            for i, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+                whole = np.append(encode(t or ""), end_id).astype(kind)
+                for k, a in enumerate(range(0, len(whole), length)):
+                    cut = whole[a : a + length]
+                    own.append(i)
+                    part.append(k)
+                    n.append(len(cut))
+                    ids.append(cut.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "part", "n", "ids"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return given.mapInArrow(run, "doc_id bigint, part int, n int, ids binary"), kind
 
 
 def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """One row per packed row: shard, row, n_tokens, doc_ids, parts, cu_seqlens, position_resets, ids."""
-    cut = stage(segments(docs, path, pattern, length, end_id))
+    cut, kind = segments(docs, path, pattern, length, end_id)
+    cut = stage(cut)
     shards = max(1, -(-cut.count() // shard_segments))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()), "part"), F.lit(shards)).cast("int"))
-    end = int(end_id).to_bytes(4, "little")
-
     def run(group: pa.Table) -> pa.RecordBatch:
         get = lambda c: group[c].combine_chunks()
         ids, doc, part, n = get("ids"), get("doc_id").to_pylist(), get("part").to_numpy(), get("n").to_numpy()
@@ -113,7 +157,9 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id:
             out["parts"].append(part[members].tolist())
             out["cu_seqlens"].append([0, *ends.tolist()])
             out["position_resets"].append([0, *ends[:-1].tolist()])
-            out["ids"].append(b"".join(ids[int(i)].as_py() for i in members) + end * (length - int(ends[-1])))
+            filled = np.full(length, end_id, "<u4")
+            filled[: ends[-1]] = np.frombuffer(b"".join(ids[int(i)].as_py() for i in members), kind)
+            out["ids"].append(filled.tobytes())
         many = len(sizes)
         kinds = {"n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "parts": pa.list_(pa.int32()), "cu_seqlens": pa.list_(pa.int32()), "position_resets": pa.list_(pa.int32()), "ids": pa.binary()}
         columns = [pa.array(np.full(many, group["shard"][0].as_py(), np.int32)), pa.array(np.arange(many, dtype=np.int32))]
