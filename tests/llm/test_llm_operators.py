@@ -142,6 +142,20 @@ def test_long_texts_are_learnt_from_start_to_end():
     assert runs[0][0] == 4094 and runs[-1][-1] == 4094 and runs[1][0] > 1200
 
 
+def test_fast_scores_equal_the_plain_pass():
+    model = lm.Attention(64, np.arange(1, 65.0))
+    rng = np.random.default_rng(6)
+    model.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * 0.05 for k, v in model.p.items()}
+    texts = [rng.integers(0, 62, n) for n in (0, 1, 7, 8, 9, 40, 333)]
+    for text, got in zip(texts, lm.Scorer(model).score(texts, 62, 63, rows_at_once=5), strict=True):
+        now, want = model.windows(text, 62, 63)
+        past = np.vstack([np.full((1, model.half), 63), now[:-1]])
+        h, _ = model.forward(past, now, 63)
+        real = want >= 0
+        plain = model.log_probs(h[real], now[real], want[real]).sum() / np.log(10)
+        assert got == pytest.approx(plain, rel=1e-5)
+
+
 def test_scores_equal_brute_force(spark, odd):
     rng = np.random.default_rng(4)
     docs = documents(spark, [*ODD, *[words_of(rng, 60) for _ in range(40)]])
