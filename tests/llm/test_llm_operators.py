@@ -175,6 +175,26 @@ def test_scores_equal_brute_force(spark, odd):
             assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_the_language_model_learns_from_all_training_documents(spark, odd):
+    rng = np.random.default_rng(8)
+    docs = documents(spark, [*ODD, *[words_of(rng, 60) for _ in range(40)]]).repartition(3)
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
+    ranks = {b: i for b, i in bpe.read_ranks(PATH).items() if i < lm.SUBWORDS - 2}
+    speller = lm.Speller(ranks)
+    lines = [[speller.end, *speller.ids(lm.words_of(r.text)), speller.end] for r in docs.filter(train).collect()]
+    seen = np.bincount([i for line in lines for i in line[1:]], minlength=lm.SUBWORDS)
+    assert (lm.subword_counts(lm.count_words(docs, train), ranks) == seen).all()
+    model = lm.Attention(lm.SUBWORDS, seen)
+    pairs = np.zeros((lm.SUBWORDS, lm.CLASSES))
+    for line in lines:
+        np.add.at(pairs, (line[:-1], model.group[line[1:]]), 1)
+    assert (lm.class_pairs(docs, train, ranks, model.group) == pairs).all()
+    before = {k: v.copy() for k, v in model.p.items()}
+    windows = lm.learn_from_all(model, docs, train, ranks, int(seen.sum()), shard=500)
+    assert windows == sum(-(-(len(line) - 1) // model.half) for line in lines)
+    assert all(model.p[k].shape == v.shape for k, v in before.items()) and (model.p["embed"] != before["embed"]).any()
+
+
 # ------------------------------------------------------------------ classifiers
 
 
