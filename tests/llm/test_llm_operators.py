@@ -133,6 +133,21 @@ def test_model_is_a_distribution():
     assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
+def test_a_token_sees_at_least_64_before_it():
+    model = lm.Attention(64, np.arange(1, 65.0))
+    ids = np.random.default_rng(3).integers(0, 62, 400)
+
+    def hidden(text):
+        now, _ = model.windows(text, 62, 63)
+        h, _ = model.forward(np.vstack([np.full((1, model.half), 63), now[:-1]]), now, 63)
+        return h.reshape(-1, lm.WIDTH)
+
+    other = ids.copy()
+    other[200] = (ids[200] + 1) % 62
+    changed = np.flatnonzero((hidden(ids) != hidden(other)).any(1))
+    assert changed[0] == 201 and changed[-1] >= 201 + 63
+
+
 def test_long_texts_are_learnt_from_start_to_end():
     ids = np.arange(4000)
     (whole,) = lm.runs_of(ids[:98], 4094, 100)
