@@ -190,6 +190,14 @@ def test_scores_equal_brute_force(spark, odd):
             assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_the_end_token_is_known_however_few_documents_there_are(spark):
+    docs = documents(spark, [" ".join(f"w{i}" for i in range(20)) + " w1" * k for k in range(4)]).repartition(1)
+    whole, part = ({r.doc_id: r for r in lm.score(docs, PATH, head_words=head, steps=1).collect()} for head in (150_000, 8))
+    for i, r in whole.items():
+        assert (part[i].n_known, part[i].n_tokens) == (r.n_known, r.n_tokens)
+        assert part[i].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
 def test_the_language_model_learns_from_all_training_documents(spark, odd):
     rng = np.random.default_rng(8)
     docs = documents(spark, [*ODD, *[words_of(rng, 60) for _ in range(40)]]).repartition(3)
