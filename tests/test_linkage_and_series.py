@@ -56,3 +56,14 @@ def test_power_rises_with_size_and_repeats(spark):
     designs = spark.createDataFrame([(1, 40, 0.3, 3.0, 0.5), (2, 400, 0.3, 3.0, 0.5), (3, 400, 0.3, 1.0, 0.5)], "design long, n int, baseline double, odds_ratio double, exposed double")
     one, two = ({r.design: r.power for r in series.selection_power(designs.repartition(k)).collect()} for k in (1, 3))
     assert one == two and one[1] < one[2] and one[3] < 0.1
+
+
+def test_label_steps_cover_every_supplier(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from veristrata.plans import registry
+
+    rows = [(s, f"1995-{m:02d}-01", "A" if m < 6 else "N", 1) for s in (1, 7, 900) for m in range(1, 11) for _ in range(1 + (m > 5) * s % 3)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_returnflag string, l_quantity int").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.provider: (r.i, r.was, r.labels, r.step) for r in registry.Q["label_change_step_by_provider"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, "A", "N", 2.0), 7: (5, "A", "N", 2.0), 900: (5, "A", "N", 1.0)}

@@ -36,12 +36,12 @@ def log_change_correlations(series: DataFrame, n_series: int) -> DataFrame:
     return pairs.groupBy(F.col("name").alias("a"), F.col("name_b").alias("b")).agg(F.count("*").alias("n"), F.round(pearson("d", "e"), 6).alias("r"))
 
 
-def label_steps(series: DataFrame, k: int) -> DataFrame:
-    """(i, labels, value): where the labels change, the mean of the next k values over that of the k before."""
-    w = Window.orderBy("i")
+def label_steps(series: DataFrame, k: int, *by: str) -> DataFrame:
+    """(i, labels, value), one series for each of `by`: where the labels change, the mean of the next k values over that of the k before."""
+    w = Window.partitionBy(*by).orderBy("i")
     after, before = w.rowsBetween(0, k - 1), w.rowsBetween(-k, -1)
-    marked = series.select("i", "labels", F.lag("labels").over(w).alias("was"), F.avg("value").over(after).alias("after"), F.avg("value").over(before).alias("before"))
-    return marked.filter("labels <> was").select("i", "was", "labels", F.round(F.try_divide("after", "before"), 6).alias("step"))
+    marked = series.select(*by, "i", "labels", F.lag("labels").over(w).alias("was"), F.avg("value").over(after).alias("after"), F.avg("value").over(before).alias("before"))
+    return marked.filter("labels <> was").select(*by, "i", "was", "labels", F.round(F.try_divide("after", "before"), 6).alias("step"))
 
 
 def common_support(rows: DataFrame, group: str, value: str) -> DataFrame:

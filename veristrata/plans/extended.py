@@ -48,6 +48,19 @@ def label_change_step(spark, sf_dir):
     return series.label_steps(m.select((F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("i"), "labels", "value"), 6)
 
 
+@query(f"""WITH m AS (SELECT l_suppkey AS provider, {MONTH.format('l_shipdate')} AS p, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS labels, count(*) AS value FROM lineitem GROUP BY 1, 2),
+n AS (SELECT provider, (row_number() OVER (PARTITION BY provider ORDER BY p) - 1)::BIGINT AS i, labels, value FROM m),
+s AS (SELECT provider, i, lag(labels) OVER w AS was, labels, round(avg(value) OVER (PARTITION BY provider ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) / avg(value) OVER (PARTITION BY provider ORDER BY i ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 6) AS step FROM n WINDOW w AS (PARTITION BY provider ORDER BY i))
+SELECT provider, i, was, labels, step FROM s WHERE labels <> was""")
+def label_change_step_by_provider(spark, sf_dir):
+    """The same over the whole table, a series for each supplier."""
+    from pyspark.sql import Window
+
+    m = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("provider"), F.trunc("l_shipdate", "month").alias("p")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("labels"), F.count("*").alias("value"))
+    place = F.row_number().over(Window.partitionBy("provider").orderBy("p")) - 1
+    return series.label_steps(m.select("provider", place.cast("long").alias("i"), "labels", "value"), 6, "provider")
+
+
 @query(f"""WITH {SUPPLIERS}, e AS (SELECT greatest(min(size) FILTER (key % 2 = 1), min(size) FILTER (key % 2 <> 1)) AS low, least(max(size) FILTER (key % 2 = 1), max(size) FILTER (key % 2 <> 1)) AS high FROM s)
 SELECT low, high, count(*) FILTER (key % 2 = 1 AND size BETWEEN low AND high) AS first_inside, count(*) FILTER (key % 2 <> 1 AND size BETWEEN low AND high) AS others_inside, count(*) AS n FROM s, e GROUP BY 1, 2""")
 def common_support(spark, sf_dir):
