@@ -93,3 +93,52 @@ def test_micro_batches_drop_repeats(spark, tmp_path):
     stream = spark.readStream.schema("id int, ts timestamp").parquet(str(tmp_path / "in"))
     ingest(stream, lambda d: d.withColumn("twice", F.col("id") * 2), str(tmp_path / "out"), str(tmp_path / "cp"), "id", "ts").awaitTermination(60)
     assert sorted(r.twice for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 4]
+
+
+def test_whole_coupling_equals_brute_force(spark, tmp_path):
+    import datetime as dt
+
+    import numpy as np
+
+    from veristrata.plans import registry
+
+    rng = np.random.default_rng(12)
+    orders = [(o, int(rng.integers(1, 40)), f"{rng.integers(1, 4)}-P", "FOP"[rng.integers(3)], dt.date(1998 + int(rng.integers(3)), 5, 1)) for o in range(40)]
+    lines = [(o, k, int(rng.integers(1, 30)), 1 + k, 0.05) for o in range(40) for k in range(1 + o % 2)]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date"),
+        "lineitem": (lines, "l_orderkey long, l_linenumber long, l_suppkey long, l_quantity long, l_discount double"),
+        "nation": ([(n, n % 3) for n in range(6)], "n_nationkey long, n_regionkey long"),
+        "customer": ([(c, c % 6) for c in range(1, 40)], "c_custkey long, c_nationkey long"),
+        "supplier": ([(s, s % 6) for s in range(1, 30)], "s_suppkey long, s_nationkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    by_key = {o[0]: o for o in orders}
+    edges = [(f"C{by_key[o][1]}", f"S{s}", by_key[o][2], by_key[o][3], o * 10 + k) for o, k, s, _, _ in lines if by_key[o][4] < dt.date(2000, 1, 1)]
+    near, bodies, kind = {}, {}, {}
+    for a, b, what, _, at in sorted(edges, key=lambda e: e[4]):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+        bodies.setdefault(a, set()).add(b)
+        kind[a, b] = what
+    wanted, left = set(), set(near)
+    while left:
+        part, todo = set(), [next(iter(left))]
+        while todo:
+            if (n := todo.pop()) not in part:
+                part.add(n)
+                todo += near[n]
+        left -= part
+        regions = {int(n[1:]) % 6 % 3 for n in part}
+        pairs = [p for p in kind if p[0] in part]
+        kinds, families = {kind[p] for p in pairs}, {e[3] for e in edges if e[0] in part}
+        wide = min(len(regions), len(kinds), len(families)) >= 2
+        verdict = "COUPLED" if wide else "INSUFFICIENT_INDEPENDENT_SOURCES" if len(families) < 2 else "ISOLATED"
+        wanted.add((min(part), len(part), len(pairs), len(regions), len(kinds), len(families), verdict))
+    assert len(wanted) > 1
+    assert {tuple(r) for r in registry.Q["coupling_verdict_whole"](spark, str(tmp_path)).collect()} == wanted
+    top = sorted(wanted, key=lambda r: (-r[1], r[0]))[:5]
+    assert [tuple(r) for r in registry.Q["components_topk_whole"](spark, str(tmp_path)).collect()] == top
+    got = {tuple(r) for r in registry.Q["bridges_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(a, len(b)) for a, b in bodies.items() if len(b) > 1}

@@ -279,8 +279,11 @@ RELATIONS = """r AS (SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS
 WHERE l_quantity >= 49 AND l_discount < 0.02 AND o_orderdate < DATE '2000-01-01')"""
 
 
-def relations(spark, sf_dir):
-    e = t(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount < 0.02").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+RELATIONS_WHOLE = """WITH r AS (SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < DATE '2000-01-01')"""
+
+
+def relations(spark, sf_dir, kept="l_quantity >= 49 AND l_discount < 0.02"):
+    e = t(spark, sf_dir, "lineitem").filter(kept).join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return e.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("family"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.to_date("o_orderdate").alias("valid_from"))
 
 
@@ -318,6 +321,25 @@ def bridges(spark, sf_dir):
     return graph.bridges(r.select(F.col("a").alias("person"), F.col("b").alias("body")))
 
 
+# Over every relation; a recursive query that lists all pairs of nodes is too slow for these, so tests hold them against brute force.
+
+
+@query(None)
+def coupling_verdict_whole(spark, sf_dir):
+    return graph.coupling(relations(spark, sf_dir, "true"), domains(spark, sf_dir), "2000-01-01")
+
+
+@query(None)
+def components_topk_whole(spark, sf_dir):
+    return graph.top_components(coupling_verdict_whole(spark, sf_dir))
+
+
+@query(RELATIONS_WHOLE + " SELECT a AS person, count(DISTINCT b) AS bodies FROM r GROUP BY 1 HAVING count(DISTINCT b) >= 2")
+def bridges_whole(spark, sf_dir):
+    r = relations(spark, sf_dir, "true").filter("valid_from < '2000-01-01'")
+    return graph.bridges(r.select(F.col("a").alias("person"), F.col("b").alias("body")))
+
+
 RESULTS = "res AS (SELECT o_orderkey AS result_id, o_custkey || '/' || o_orderpriority AS scope, CASE o_orderstatus WHEN 'F' THEN 'SUPPORTS' WHEN 'O' THEN 'WEAKENS' ELSE 'INCONCLUSIVE' END AS direction FROM orders)"
 
 
