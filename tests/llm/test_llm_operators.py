@@ -232,6 +232,19 @@ def test_languages_are_told_apart(spark, none):
     assert language_id.identify(none, language_id.fit(none)).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(9)
+    langs = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(5)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(langs[lang], 20)), lang) for i, lang in enumerate(list(langs) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == sorted(langs)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+    few = language_id.fit(docs, each=2)
+    assert few.languages == sorted(langs)
+
+
 def test_quality_is_learnt(spark, none):
     rng = np.random.default_rng(6)
     rows = [(i, words_of(rng, 80) if i % 3 else "### " * 30 + "BUY!! " * 40) for i in range(240)] + [(900, None), (901, "")]

@@ -16,14 +16,14 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of
-from .features import NgramHasher, learn, sampled, score
+from .common import bucket_of, stage
+from .features import NgramHasher, learn, score
 
-#: Most labelled documents of one language that the models are fitted on, and most languages.
-SAMPLE_EACH, LANGUAGES = 400, 64
+#: Most labelled documents of one language that the models are fitted on; every language is learnt.
+SAMPLE_EACH = 400
 BUCKETS = 2048
 
 
@@ -111,14 +111,12 @@ class LanguageModel:
 def fit(docs: DataFrame, held: int = 2, modulus: int = 4, each: int = SAMPLE_EACH) -> LanguageModel:
     """Fitted on at most `each` documents of each language outside the held-out fold."""
     known = docs.filter((bucket_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     hasher = NgramHasher(buckets=BUCKETS)
-    if not langs:
+    # The same rows as sampled() takes of each language, for all languages at once.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id"))
+    chosen = stage(known.withColumn("place", place).filter(F.col("place") <= each).drop("place"))
+    if not chosen.head(1):
         return LanguageModel(np.zeros((0, BUCKETS)), np.zeros(0, object), hasher)
-    chosen = None
-    for lang in langs:
-        part = sampled(known.filter(F.col("lang") == lang), "doc_id", each, "language")
-        chosen = part if chosen is None else chosen.union(part)
     x, y = learn(docs, chosen, hasher, "lang")
     return LanguageModel(x, y, hasher)
 
