@@ -142,3 +142,23 @@ def test_whole_coupling_equals_brute_force(spark, tmp_path):
     assert [tuple(r) for r in registry.Q["components_topk_whole"](spark, str(tmp_path)).collect()] == top
     got = {tuple(r) for r in registry.Q["bridges_whole"](spark, str(tmp_path)).collect()}
     assert got == {(a, len(b)) for a, b in bodies.items() if len(b) > 1}
+
+
+def test_permutation_p_is_spearmans(spark):
+    from itertools import permutations
+
+    import numpy as np
+
+    x, y = [1.0, 2.0, 3.0, 4.0, 4.0, 1000.0, 7.0], [3.0, 1.0, 2.0, 9.0, 5.0, 5.0, 4000.0]
+    a, b = ([sum(w < v for w in c) + (sum(w == v for w in c) + 1) / 2 for v in c] for c in (x, y))
+    a, b = np.array(a) - 4, np.array(b) - 4
+    every = np.abs(np.array(list(permutations(b))) @ a)
+    exact = (every >= abs(a @ b) - 1e-9).mean()
+    rows = spark.createDataFrame(list(zip(x, y, strict=True)), "x double, y double")
+    got = stats.permutation_p(rows, "x", "y", 20000, 7).first()
+    assert got.n == 7 and got.r == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-12)
+    assert abs(got.p - exact) < 5 * (exact * (1 - exact) / 20000) ** 0.5
+    assert got == stats.permutation_p(rows, "x", "y", 20000, 7).first()
+    none = stats.permutation_p(rows.limit(2), "x", "y", 100, 7).first()
+    assert none.n == 2 and none.r != none.r
+    assert stats.permutation_p(rows.limit(0), "x", "y", 100, 7).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,19 +73,33 @@ def calibrate(series: DataFrame, grid: DataFrame, tolerance: float) -> DataFrame
     return got.select("g", F.round(F.col("rmse") / scale, 6).alias("distance"), (F.col("rmse") / scale <= tolerance).alias("accepted"))
 
 
-def permutation_p(rows: DataFrame, x: str, y: str, draws: int, seed: int) -> DataFrame:
-    """(hits + 1) / (draws + 1) of |r| under shuffled pairing. One bounded vector in one worker, for a reproducible stream."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y])
-        a, b = (pdf[c].to_numpy(float) for c in (x, y))
-        a, b = a - a.mean(), b - b.mean()
-        norm = np.sqrt((a @ a) * (b @ b))
-        if len(pdf) < 3 or norm == 0:
-            return pd.DataFrame({"n": [len(pdf)], "r": [np.nan], "p": [np.nan]})
-        rng = np.random.default_rng(seed)
-        seen = abs(a @ b)
-        hits = sum(abs(a @ rng.permutation(b)) >= seen - 1e-12 for _ in range(draws))
-        return pd.DataFrame({"n": [len(pdf)], "r": [a @ b / norm], "p": [(hits + 1) / (draws + 1)]})
-
-    return rows.select(x, y, F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "n long, r double, p double")
+def permutation_p(rows: DataFrame, x: str, y: str, draws: int, seed: int, at_once: int = 500) -> DataFrame:
+    """(hits + 1) / (draws + 1) of Spearman's |r| under shuffled pairing; null pairs are left out.
+
+    The draws are spread over tasks, `at_once` of them from one seed each, so p does not depend
+    on the tasks. Each task gets both rank columns.
+    """
+    spark = rows.sparkSession
+    ranked = rows.select(x, y).dropna().select(average_rank(x).alias("x"), average_rank(y).alias("y"))
+    got = ranked.orderBy("x", "y").toArrow()
+    a, b = (got[c].to_numpy().astype(float) for c in ("x", "y"))
+    n = len(a)
+    a, b = a - (n + 1) / 2, b - (n + 1) / 2
+    norm = np.sqrt((a @ a) * (b @ b))
+    if n < 3 or norm == 0:
+        return spark.createDataFrame([(n, float("nan"), float("nan"))], "n long, r double, p double").limit(min(n, 1))
+    seen = abs(a @ b) - 1e-12 * norm
+    shared = spark.sparkContext.broadcast((a, b))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, right = shared.value
+        for pdf in batches:
+            hits = 0
+            for k in pdf["id"].tolist():
+                rng = np.random.default_rng([seed, k])
+                hits += sum(abs(left @ rng.permutation(right)) >= seen for _ in range(min(at_once, draws - k * at_once)))
+            yield pd.DataFrame({"hits": [int(hits)]})
+
+    parts = -(-draws // at_once)
+    hits = spark.range(0, parts, 1, parts).mapInPandas(run, "hits long").agg(F.sum("hits").alias("hits"))
+    return hits.select(F.lit(n).cast("long").alias("n"), F.lit(float(a @ b / norm)).alias("r"), ((F.col("hits") + 1) / F.lit(draws + 1)).alias("p"))

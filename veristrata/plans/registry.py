@@ -427,4 +427,4 @@ def e_value(spark, sf_dir):
 
 @query(None)
 def permutation_p(spark, sf_dir):
-    return stats.permutation_p(supplier_stats(spark, sf_dir), "size", "disc", 2000, 20260816)
+    return stats.permutation_p(supplier_stats(spark, sf_dir), "size", "disc", 20000, 20260816)
