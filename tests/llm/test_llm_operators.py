@@ -257,6 +257,15 @@ def test_quality_is_learnt(spark, none):
     assert {r.score for r in quality_model.grade(docs, empty).collect()} == {0.5}
 
 
+def test_a_rare_toxic_term_behind_many_common_ones_is_learnt(spark):
+    common = " ".join("".join("abcdefghij"[int(d)] for d in f"{k:04d}") for k in range(3300))
+    rows = [(i, common + (" grobnik" if i % 10 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "grobnik" in model.weights and not any(w in model.weights for w in common.split())
+
+
 def test_toxicity_is_learnt_from_positives(spark, none):
     rng = np.random.default_rng(7)
     rows = [(i, words_of(rng, 60) + (" nastyword here" if i % 5 == 0 else "")) for i in range(600)] + [(2000, None)]

@@ -6,7 +6,7 @@ the non-negative risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R
 with the class prior taken from the labelled documents of the training folds. The terms of a
 text are its words and the first letters of its longer words. Terms are features if at least
 MIN_DOCS positives have them and their share among positives exceeds that among unlabelled
-texts by MIN_Z standard errors; one weight is added for each feature that occurs, however
+texts by MIN_Z standard errors, however many terms do; one weight is added for each feature that occurs, however
 often.
 
 Defined results: a null or empty text has no features and gets the bias's score; without a
@@ -16,7 +16,6 @@ of them says so.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, column, small, small_batches
+from .common import bucket_of, column, small, small_batches, stage
 from .features import letters_of, sampled, score
 
-#: Most positives and most unlabelled documents that the model is fitted on, and its features.
-POSITIVES, UNLABELLED, FEATURES, MIN_DOCS, MIN_Z = 4000, 9000, 3000, 3, 4.0
+#: Most positives and most unlabelled documents that the model is fitted on; what makes a term a feature.
+POSITIVES, UNLABELLED, MIN_DOCS, MIN_Z = 4000, 9000, 3, 4.0
 PREFIX = 5
 THRESHOLD = 0.5
 
@@ -75,22 +74,33 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     return w
 
 
-def _documents_with(docs: DataFrame, chosen: DataFrame, words: frozenset[str] | None) -> list[tuple[int, list[str]]]:
-    """(label, words) of the chosen documents; all words, or those given."""
+def _documents_with(docs: DataFrame, chosen: DataFrame, words: frozenset[str] | None) -> DataFrame:
+    """label and words of the chosen documents; all words and an empty one, or those given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text_"):
-            found = [sorted(terms_of(t or "") if words is None else words.intersection(terms_of(t or ""))) for t in column(batch, "text_").to_pylist()]
+            found = [["", *terms_of(t or "")] if words is None else sorted(words.intersection(terms_of(t or ""))) for t in column(batch, "text_").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "label_"), pa.array(found, pa.list_(pa.string()))], ["label", "words"])
 
     picked = chosen.select(F.col("doc_id").alias("id_"), F.col("label").alias("label_"))
     texts = docs.select(F.col("doc_id").alias("own_id_"), F.col("text").alias("text_")).join(small(picked), F.col("own_id_") == F.col("id_")).select("text_", "label_")
-    got = texts.mapInArrow(run, "label int, words array<string>")
-    if words is None:  # document counts, for choosing the features
-        return [(r["n"], r["w"]) for r in got.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "w").limit(FEATURES).collect()]
-    # Joined words in Arrow columns: rows of Python lists would take the driver's memory many times.
-    table = got.select("label", F.array_join("words", " ").alias("words")).toArrow()
-    return sorted((label, text.split()) for label, text in zip(table["label"].to_pylist(), table["words"].to_pylist(), strict=True))
+    return texts.mapInArrow(run, "label int, words array<string>")
+
+
+def telling_terms(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], int]:
+    """All terms that pass the test for features, the most common first; and how many positives there are."""
+    own = F.sum("label").alias("own")
+    counts = _documents_with(docs, chosen, None).select("label", F.explode("words").alias("w")).groupBy("w").agg(own, (F.count("*") - F.sum("label")).alias("other"))
+    counts = stage(counts.filter((F.col("own") >= MIN_DOCS) | (F.col("w") == "")))
+    # The empty word is in every document once: its counts are the documents'.
+    total = counts.filter(F.col("w") == "").first()
+    if not total or not total["own"]:
+        return [], 0
+    n1, n0 = float(total["own"]), float(max(1, total["other"]))
+    here, there = F.col("own") / F.lit(n1), F.col("other") / F.lit(n0)
+    spread = here * (1 - here) / F.lit(n1) + (there * (1 - there) + F.lit(1 / n0)) / F.lit(n0)
+    telling = counts.filter((F.col("w") != "") & ((here - there) / F.sqrt(F.greatest(spread, F.lit(1e-12))) >= MIN_Z) & (here >= 3 * there))
+    return [r["w"] for r in telling.orderBy(F.desc("own"), "w").select("w").collect()], int(n1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
@@ -104,24 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, pos
     toxic = sampled(known.filter("label = 1"), "doc_id", positives, "toxic")
     # The unlabelled set is drawn from all documents, the toxic ones among them, as the risk assumes.
     plain = sampled(docs.filter(open_).select("doc_id", F.lit(0).alias("label")).distinct(), "doc_id", unlabelled, "plain")
-    names = [w for _, w in _documents_with(docs, toxic, None)]
-    at = {w: i for i, w in enumerate(names)}
-    rows = _documents_with(docs, toxic.union(plain), frozenset(names))
-    counts = Counter(label for label, _ in rows)
-    if not counts[1]:
+    chosen = toxic.union(plain)
+    names, found = telling_terms(docs, chosen)
+    if not found:
         return ToxicityModel({}, -30.0)
-    # Shares first: only telling terms get a column, so the matrix stays small.
-    has = np.zeros((2, len(names)))
-    for label, words in rows:
-        has[label, [at[w] for w in words]] += 1
-    here, there = has[1] / counts[1], has[0] / max(1, counts[0])
-    spread = here * (1 - here) / counts[1] + (there * (1 - there) + 1 / max(1, counts[0])) / max(1, counts[0])
-    telling = np.flatnonzero(((here - there) / np.sqrt(np.maximum(spread, 1e-12)) >= MIN_Z) & (here >= 3 * there))
-    names = [names[i] for i in telling]
     at = {w: i for i, w in enumerate(names)}
+    # Joined words in Arrow columns: rows of Python lists would take the driver's memory many times.
+    table = _documents_with(docs, chosen, frozenset(names)).select("label", F.array_join("words", " ").alias("words")).toArrow()
+    rows = sorted((label, text.split()) for label, text in zip(table["label"].to_pylist(), table["words"].to_pylist(), strict=True))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.array([label for label, _ in rows])
     for i, (_, words) in enumerate(rows):
-        x[i, [at[w] for w in words if w in at]] = 1
+        x[i, [at[w] for w in words]] = 1
     w = train(x[y == 1], x[y == 0], prior)
     return ToxicityModel({n: float(v) for n, v in zip(names, w[:-1], strict=True)}, float(w[-1]))
 
