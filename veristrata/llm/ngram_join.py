@@ -191,7 +191,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = stage(nodes.select("key", "node", "copies", "first").join(links, "node", "left").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    heads = stage(named.groupBy("root").agg(F.min("first").alias("head")))
     done = stage(named.join(heads, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "head"))
     # Only rows that link or are not kept need looking up; all others are classes of their own.
     told = stage(signed.select("uid", "key").join(done.filter("n_links > 0"), "key").select(F.col("uid").alias("of"), "n_links", "head"))
