@@ -196,7 +196,7 @@ def _links_of(reps: DataFrame, dim: int, total: int, threshold: float, sample: i
         codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(len(rows), -1)
         visits = held["visits"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
         cell, missed = int(group["cell"][0].as_py()), get("missed")[rows]
-        left, right = [], []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(queries), 256):
             some = queries[a : a + 256]
             i, j = np.nonzero(index.approximate(u[some], cell, codes) >= threshold - missed - 1e-9)
