@@ -8,7 +8,8 @@ the winner's mean margin.
 
 Defined results: a null text or one without a letter is `und` with score 0; with no
 labelled document to learn from every text is `und`; with one language learnt it is always
-predicted, with score 1; equal margins go to the first language by code point.
+predicted, with score 1; equal margins go to the first language by code point; rows equal in
+doc_id and text are learnt once and all identified alike; texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, stage
-from .features import NgramHasher, learn, score
+from .common import bucket_of
+from .features import NgramHasher, learn, sample, score
 
 #: Most labelled documents of one language that the models are fitted on; every language is learnt.
 SAMPLE_EACH = 400
@@ -109,16 +110,11 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, held: int = 2, modulus: int = 4, each: int = SAMPLE_EACH) -> LanguageModel:
-    """Fitted on at most `each` documents of each language outside the held-out fold."""
-    known = docs.filter((bucket_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    """Fitted on at most `each` documents of each language outside the held-out fold; equal rows count once."""
+    known = docs.filter((bucket_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hasher = NgramHasher(buckets=BUCKETS)
-    # The same rows as sampled() takes of each language, for all languages at once.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id"))
-    chosen = stage(known.withColumn("place", place).filter(F.col("place") <= each).drop("place"))
-    if not chosen.head(1):
-        return LanguageModel(np.zeros((0, BUCKETS)), np.zeros(0, object), hasher)
-    x, y = learn(docs, chosen, hasher, "lang")
-    return LanguageModel(x, y, hasher)
+    x, y = learn(sample(known, F.col("lang"), each, "language"), hasher)
+    return LanguageModel(x if len(x) else np.zeros((0, BUCKETS)), y, hasher)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

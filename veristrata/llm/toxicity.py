@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, column, small, small_batches, stage
-from .features import letters_of, sampled, score
+from .common import bucket_of, column, small_batches, stage
+from .features import letters_of, sample, score
 
-#: Most positives and most unlabelled documents that the model is fitted on; what makes a term a feature.
+#: Most positives and unlabelled documents that the model is fitted on; what makes a term a feature.
 POSITIVES, UNLABELLED, MIN_DOCS, MIN_Z = 4000, 9000, 3, 4.0
 PREFIX = 5
 THRESHOLD = 0.5
@@ -74,7 +74,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     return w
 
 
-def _documents_with(docs: DataFrame, chosen: DataFrame, words: frozenset[str] | None) -> DataFrame:
+def _documents_with(chosen: DataFrame, words: frozenset[str] | None) -> DataFrame:
     """label and words of the chosen documents; all words and an empty one, or those given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +82,13 @@ def _documents_with(docs: DataFrame, chosen: DataFrame, words: frozenset[str] |
             found = [["", *terms_of(t or "")] if words is None else sorted(words.intersection(terms_of(t or ""))) for t in column(batch, "text_").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "label_"), pa.array(found, pa.list_(pa.string()))], ["label", "words"])
 
-    picked = chosen.select(F.col("doc_id").alias("id_"), F.col("label").alias("label_"))
-    texts = docs.select(F.col("doc_id").alias("own_id_"), F.col("text").alias("text_")).join(small(picked), F.col("own_id_") == F.col("id_")).select("text_", "label_")
-    return texts.mapInArrow(run, "label int, words array<string>")
+    return chosen.select("text_", "label_").mapInArrow(run, "label int, words array<string>")
 
 
-def telling_terms(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], int]:
+def telling_terms(chosen: DataFrame) -> tuple[list[str], int]:
     """All terms that pass the test for features, the most common first; and how many positives there are."""
     own = F.sum("label").alias("own")
-    counts = _documents_with(docs, chosen, None).select("label", F.explode("words").alias("w")).groupBy("w").agg(own, (F.count("*") - F.sum("label")).alias("other"))
+    counts = _documents_with(chosen, None).select("label", F.explode("words").alias("w")).groupBy("w").agg(own, (F.count("*") - F.sum("label")).alias("other"))
     counts = stage(counts.filter((F.col("own") >= MIN_DOCS) | (F.col("w") == "")))
     # The empty word is in every document once: its counts are the documents'.
     total = counts.filter(F.col("w") == "").first()
@@ -104,23 +102,23 @@ def telling_terms(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
-    """Fitted on bounded samples outside the held-out fold."""
+    """Fitted on bounded samples outside the held-out fold; rows equal in doc_id and text count once."""
     open_ = bucket_of("doc_id", modulus) != held
     known = labels.filter(open_ & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     share = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not share["toxic"]:
         return ToxicityModel({}, -30.0)
     prior = min(0.5, max(1e-3, share["toxic"] / share["n"]))
-    toxic = sampled(known.filter("label = 1"), "doc_id", positives, "toxic")
+    texts = docs.filter(open_)
+    toxic = sample(texts, F.col("label"), positives, "toxic", known.filter("label = 1"))
     # The unlabelled set is drawn from all documents, the toxic ones among them, as the risk assumes.
-    plain = sampled(docs.filter(open_).select("doc_id", F.lit(0).alias("label")).distinct(), "doc_id", unlabelled, "plain")
-    chosen = toxic.union(plain)
-    names, found = telling_terms(docs, chosen)
+    chosen = toxic.union(sample(texts, F.lit(0), unlabelled, "plain"))
+    names, found = telling_terms(chosen)
     if not found:
         return ToxicityModel({}, -30.0)
     at = {w: i for i, w in enumerate(names)}
     # Joined words in Arrow columns: rows of Python lists would take the driver's memory many times.
-    table = _documents_with(docs, chosen, frozenset(names)).select("label", F.array_join("words", " ").alias("words")).toArrow()
+    table = _documents_with(chosen, frozenset(names)).select("label", F.array_join("words", " ").alias("words")).toArrow()
     rows = sorted((label, text.split()) for label, text in zip(table["label"].to_pylist(), table["words"].to_pylist(), strict=True))
     x, y = np.zeros((len(rows), len(names)), np.float32), np.array([label for label, _ in rows])
     for i, (_, words) in enumerate(rows):
@@ -132,3 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, modulus: int = 5, pos
 def rate(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' columns `keep`, score and predicted."""
     return score(docs, model, "score double, predicted int", keep)
+
+
+def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The documents that the model does not reject, with the columns they came with, whatever these are called."""
+    return score(docs, model, "score double, predicted int", tuple(docs.columns), "predicted = 0")
