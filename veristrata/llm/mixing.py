@@ -1,15 +1,19 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Each document has a 60-bit hash. A source whose target is k whole passes and a rest takes
-every document k times, and once more those whose hash is at most the source's threshold.
+every document k times, and once more those whose hash is under the source's threshold.
 The threshold is found without sorting documents: words are summed by source and hash
 bucket, only the bucket that holds the budget's end is split further, until that bucket
-holds a single hash. Everything is DataFrame functions.
+holds a single hash. Rows that share it (they are equal in doc_id and text) are told apart by
+a second hash, of their number in the staged table, and a second threshold is found among
+them in the same way. Everything is DataFrame functions.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-order; documents equal in doc_id and text share a hash and are taken together; a source
-without words has target 0; an empty table gives an empty result. The input's other
+order; of rows equal in doc_id and text at the threshold as many are taken as come nearest
+to the target; a source without words has target 0; an empty table gives an empty result. The input's other
 columns are ignored unless asked for with `keep`.
+
+The only window over sources is over one row for each source.
 """
 
 from __future__ import annotations
@@ -63,50 +67,63 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, keep: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, and the columns in `keep` under `names`."""
     extra = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")))
+    facts = [F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h")]
+    sized = stage(docs.select(*facts, F.monotonically_increasing_id().alias("uid"), *extra))
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
-    bound = stage(
-        plan.withColumn("passes", passes.cast("long"))
-        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumns({"prefix": F.lit(0).cast("long"), "below": F.lit(0).cast("long"), "open": F.col("rest") > 0, "threshold": F.lit(-1).cast("long")})
-    )
-    bits = HASH_BITS
-    while bits > 0 and bound.filter("open").limit(1).count():
-        bits, bound = _refine(sized, bound, bits)
-    at = bound.select(F.col("source").alias("of"), "source_size", "target", "passes", "threshold")
-    # Kept columns, texts among them, come from a second reading of the documents, not from the staged table.
-    rows = sized if not keep else docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("h"), *extra)
-    copies = F.col("passes") + (F.col("h") <= F.col("threshold")).cast("long")
-    joined = rows.join(small(at), F.col("source").eqNullSafe(F.col("of")), "left")
+    bound = stage(plan.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumns({"below": F.lit(0).cast("long"), "nearer": F.lit(False)}))
+    bound = _threshold(sized.withColumn("key", F.col("h")), bound, F.col("rest") > 0).withColumnRenamed("key_at", "h_at")
+    # Among the rows of that hash, by a hash of their own; most often there is one such row.
+    at = bound.select(F.col("source").alias("of"), "h_at")
+    equal = sized.join(small(at), F.col("source").eqNullSafe(F.col("of")) & (F.col("h") == F.col("h_at")))
+    tie = F.shiftrightunsigned(F.xxhash64("uid"), 64 - HASH_BITS)
+    bound = _threshold(equal.select("source", "size", tie.alias("key")), bound, F.col("h_at") >= 0)
+    last = F.col("key_at") - F.when(F.col("nearer"), 0).otherwise(1)
+    told = bound.select(F.col("source").alias("of"), "source_size", "target", "passes", "h_at", last.alias("tie_at"))
+    joined = sized.join(small(told), F.col("source").eqNullSafe(F.col("of")), "left")
+    more = (F.col("h") < F.col("h_at")) | ((F.col("h") == F.col("h_at")) & (tie <= F.col("tie_at")))
+    copies = F.col("passes") + F.coalesce(more, F.lit(False)).cast("long")
     given = [F.col(f"kept_{i}").alias(n) for i, n in enumerate(names or keep)]
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), *given)
 
 
-def _refine(sized: DataFrame, bound: DataFrame, bits: int) -> tuple[int, DataFrame]:
+def _threshold(rows: DataFrame, bound: DataFrame, asked: Column) -> DataFrame:
+    """bound with the key (60 bits) at which the sums over rows (source, size, key) in its order reach `rest`, as `key_at`.
+
+    -1 where nothing is asked for. `below` becomes the words before that key; `nearer` tells
+    if the sum with its rows is nearer to the rest than without. A rest beyond all rows ends at the last.
+    """
+    bound = bound.withColumns({"prefix": F.lit(0).cast("long"), "open": asked, "key_at": F.lit(-1).cast("long")})
+    bits = HASH_BITS
+    while bits > 0 and bound.filter("open").limit(1).count():
+        bits, bound = _refine(rows, bound, bits)
+    return bound.drop("prefix", "open")
+
+
+def _refine(rows: DataFrame, bound: DataFrame, bits: int) -> tuple[int, DataFrame]:
     """Splits each source's boundary bucket into 2**STEP_BITS and finds the one that holds the budget's end."""
     left = max(0, bits - STEP_BITS)
-    at = bound.filter("open").select(F.col("source").alias("of"), F.col("prefix").alias("p"), "below", "rest")
-    inside = sized.join(small(at), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("h", bits) == F.col("p")))
-    sums = inside.groupBy("of", F.shiftright("h", left).alias("bucket"), "below", "rest").agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    running = Window.partitionBy("of").orderBy("bucket")
+    at = bound.filter("open").select(F.col("source").alias("of_"), F.col("prefix").alias("p"), "below", "rest")
+    inside = rows.join(small(at), F.col("source").eqNullSafe(F.col("of_")) & (F.shiftright("key", bits) == F.col("p")))
+    sums = inside.groupBy("of_", F.shiftright("key", left).alias("bucket"), "below", "rest").agg(F.sum("size").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    running = Window.partitionBy("of_").orderBy("bucket")
     reached = sums.withColumn("to", F.col("below") + F.sum("n").over(running))
-    # The first bucket that reaches the rest; a rest beyond all of them takes them all.
-    ends = F.min(F.when(F.col("to") >= F.col("rest"), F.struct("bucket", F.col("to"), "n", "lo", "hi"))).alias("end")
-    found = reached.groupBy("of").agg(ends, F.max("hi").alias("last"))
-    nearer = F.abs(F.col("end.to") - F.col("rest")) <= F.abs(F.col("rest") - (F.col("end.to") - F.col("end.n")))
+    # The first bucket that reaches the rest, or else the last one.
+    whole = F.struct("bucket", F.col("to"), "n", "lo", "hi")
+    ends = F.coalesce(F.min(F.when(F.col("to") >= F.col("rest"), whole)), F.max(whole)).alias("end")
+    found = reached.groupBy("of_").agg(ends)
+    before = F.col("end.to") - F.col("end.n")
     single = F.col("end.lo") == F.col("end.hi")
-    close = F.when(F.col("end").isNull(), F.col("last")).when(single, F.when(nearer, F.col("end.lo")).otherwise(F.col("end.lo") - 1))
-    done = bound.join(found, F.col("source").eqNullSafe(F.col("of")), "left").select(
-        "source",
-        "source_size",
-        "target",
-        "passes",
-        "rest",
-        F.when(F.col("open"), F.coalesce(F.col("end.bucket"), F.lit(0))).otherwise(F.col("prefix")).cast("long").alias("prefix"),
-        F.when(F.col("open"), F.coalesce(F.col("end.to") - F.col("end.n"), F.lit(0))).otherwise(F.col("below")).cast("long").alias("below"),
+    nearer = F.abs(F.col("end.to") - F.col("rest")) <= F.abs(F.col("rest") - before)
+    was = lambda c, new: F.when(F.col("open"), F.coalesce(new, F.col(c))).otherwise(F.col(c)).alias(c)
+    kept = [c for c in bound.columns if c not in ("prefix", "below", "open", "key_at", "nearer")]
+    done = bound.join(small(stage(found)), F.col("source").eqNullSafe(F.col("of_")), "left").select(
+        *kept,
+        was("prefix", F.col("end.bucket")).cast("long").alias("prefix"),
+        was("below", before).cast("long").alias("below"),
+        was("nearer", nearer).alias("nearer"),
         (F.col("open") & F.coalesce(~single, F.lit(False))).alias("open"),
-        F.when(F.col("open"), F.coalesce(close, F.lit(-1))).otherwise(F.col("threshold")).cast("long").alias("threshold"),
+        F.when(F.col("open") & single, F.col("end.lo")).otherwise(F.col("key_at")).cast("long").alias("key_at"),
     )
     return left, stage(done)
 
@@ -133,17 +150,18 @@ plan AS (
   FROM levels),
 split AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS passes FROM plan),
 rests AS (SELECT *, target - passes * source_size AS rest FROM split),
-hashes AS (SELECT source, h, sum(size)::BIGINT AS n FROM sized GROUP BY source, h),
+hashes AS (SELECT source, h, sum(size)::BIGINT AS n, min(size) AS each FROM sized GROUP BY source, h),
 running AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h)::BIGINT AS upto FROM hashes),
 ends AS (
-  SELECT r.source, arg_min({'h': h, 'upto': upto, 'n': n}, h) FILTER (upto >= rest) AS e, max(h) AS top
-  FROM running r JOIN rests t ON r.source IS NOT DISTINCT FROM t.source WHERE rest > 0 GROUP BY r.source),
-thresholds AS (
-  SELECT source, CASE WHEN e IS NULL THEN top WHEN abs(e.upto - rest) <= abs(rest - (e.upto - e.n)) THEN e.h ELSE e.h - 1 END AS threshold
-  FROM (SELECT ends.*, rest FROM ends JOIN rests ON ends.source IS NOT DISTINCT FROM rests.source))
-SELECT doc_id, size, source_size, target,
-       CAST(size * (passes + CASE WHEN h <= coalesce(threshold, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(passes + CASE WHEN h <= coalesce(threshold, -1) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM sized JOIN rests ON sized.source IS NOT DISTINCT FROM rests.source
-LEFT JOIN thresholds ON sized.source IS NOT DISTINCT FROM thresholds.source
+  SELECT r.source, rest, coalesce(arg_min({'h': h, 'upto': upto, 'n': n, 'each': each}, h) FILTER (upto >= rest), arg_max({'h': h, 'upto': upto, 'n': n, 'each': each}, h)) AS e
+  FROM running r JOIN rests t ON r.source IS NOT DISTINCT FROM t.source WHERE rest > 0 GROUP BY r.source, rest),
+-- Of the equal rows at the boundary as many as come nearest, half a row counting as one.
+thresholds AS (SELECT source, e.h AS h_at, CASE WHEN e.each > 0 THEN floor((rest - (e.upto - e.n)) / e.each + 0.5) ELSE 0 END AS equals FROM ends),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS k FROM sized),
+counted AS (
+  SELECT doc_id, size, source_size, target,
+         passes + CASE WHEN h < coalesce(h_at, -1) OR (h = h_at AND k <= equals) THEN 1 ELSE 0 END AS copies
+  FROM placed JOIN rests ON placed.source IS NOT DISTINCT FROM rests.source
+  LEFT JOIN thresholds ON placed.source IS NOT DISTINCT FROM thresholds.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM counted
 """
