@@ -9,7 +9,8 @@ log(length) steps. Rows that are full from the start need no search.
 Each packed row has its ids as little-endian unsigned 32-bit integers padded to `length`,
 the cumulative segment lengths (the row's attention boundaries), and where positions start
 again at 0. Defined results: a null or empty text is a segment of its end token alone;
-repeated rows are packed each on their own; an empty table gives no rows.
+repeated rows are packed each on their own, dealt to shards like any others; an empty table
+gives no rows; other columns than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -138,14 +139,16 @@ def segments(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end
 def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id: int = END_ID, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """One row per packed row: shard, row, n_tokens, doc_ids, parts, cu_seqlens, position_resets, ids."""
     cut, kind = segments(docs, path, pattern, length, end_id)
-    cut = stage(cut)
+    cut = stage(cut.withColumn("uid", F.monotonically_increasing_id()))
     shards = max(1, -(-cut.count() // shard_segments))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()), "part"), F.lit(shards)).cast("int"))
+    # By the number in the staged table, so that rows of one doc_id are dealt like any others.
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")).drop("uid")
+
     def run(group: pa.Table) -> pa.RecordBatch:
         get = lambda c: group[c].combine_chunks()
         ids, doc, part, n = get("ids"), get("doc_id").to_pylist(), get("part").to_numpy(), get("n").to_numpy()
         # A fixed order, however the shuffle delivered the rows: by document, part and ids.
-        order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i] is None, doc[i], part[i], ids[i].as_py() if doc[i] is None else b"")), np.int64)
+        order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i] is None, doc[i] or 0, part[i], ids[i].as_py())), np.int64)
         row = best_fit(n[order], length)
         by_row = order[np.argsort(row, kind="stable")]
         sizes = np.bincount(row)
