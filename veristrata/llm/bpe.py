@@ -25,7 +25,6 @@ import sys
 import types
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-@cache
 def pattern_for(pattern: str) -> re.Pattern:
     r"""The split pattern for Python's re, with \p{L}, \p{N} and \s written out as sets of characters."""
 
