@@ -121,7 +121,13 @@ def _common(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The columns of docs, and a struct column `link_` of n_links, class_id, kept."""
+    """The columns of docs, and a struct column `link_` of n_links, class_id, kept; it takes the place of one called so."""
+    names = [c for c in docs.columns if c != "link_"]
+    return linked(docs.select(*[f"`{c}`" for c in names]), words, threshold, recall).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "link_")
+
+
+def linked(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The columns of docs as c0, c1, ..., and `link_`."""
     bands, rows = banding(threshold, recall)
     grams, signs = Grams(words), MinHash(bands, rows)
     names = docs.columns
@@ -202,7 +208,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
         F.when(alone, col("doc_id")).otherwise(F.col("head.doc_id")).cast("long").alias("class_id"),
         (alone | (F.col("uid") == F.col("head.uid"))).alias("kept"),
     )
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], verdict.alias("link_"))
+    return out.select(*[f"c{i}" for i in range(len(names))], verdict.alias("link_"))
 
 
 def _signatures(group: pa.Table, bands: int) -> np.ndarray:
@@ -211,4 +217,4 @@ def _signatures(group: pa.Table, bands: int) -> np.ndarray:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs."""
-    return link(docs).filter("link_.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return linked(docs).filter("link_.kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
