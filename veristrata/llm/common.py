@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, wherever an operator counts words: the ASCII white space splits.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a table of a few numbers each that may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table's values that may be broadcast.
+BROADCAST_BYTES = 16_000_000
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -24,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of its own only where none is set."""
+    """The folder that driver and executors share. Where none is set: the warehouse, or on one machine a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.veristrata"
     if not where:
         import tempfile
 
@@ -56,9 +59,18 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a staged table) marked for broadcast if it has few rows; else unmarked, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a staged table) marked for broadcast if all its values take few bytes; else unmarked, for a shuffled join."""
+
+    def size(c: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        return F.lit(8)
+
+    each = sum((size(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,7 +94,12 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBa
     The rows come sorted by key and as Arrow, so a task holds one group at a time and a
     small group costs no pandas frame.
     """
-    spread = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    if parts is None:
+        spread = df.repartition(*keys)
+    elif len(keys) == 1:  # keys 0, 1, ... go to a partition each
+        spread = df.repartitionById(parts, F.col(keys[0]).cast("int"))
+    else:
+        spread = df.repartition(parts, *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
