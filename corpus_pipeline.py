@@ -21,8 +21,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels table, does not reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.rate(docs, model, tuple(docs.columns)).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
