@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import public_tokenizers
-from veristrata.llm import bpe, language_id, lm, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, vector_dedup
-from veristrata.llm.components import components
+from veristrata.llm import bpe, features, language_id, lm, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, vector_dedup
+from veristrata.llm.components import components, local_roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, kept string, label string"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -116,7 +116,9 @@ def test_gradients():
     past, now, want = (rng.integers(0, 62, (3, model.half)) for _ in range(3))
     past[0] = 63
     _, g = model.gradients(past, now, want, 63)
-    for name, value in model.p.items():
+    assert set(g) == set(model.p) - set(lm.COUNTED)
+    for name in g:
+        value = model.p[name]
         at = np.unravel_index(np.argmax(np.abs(g[name])), value.shape)
         kept, sides = value[at], []
         for step in (1e-5, -1e-5):
@@ -148,13 +150,29 @@ def test_a_token_sees_at_least_64_before_it():
     assert changed[0] == 201 and changed[-1] >= 201 + 63
 
 
-def test_long_texts_are_learnt_from_start_to_end():
-    ids = np.arange(4000)
-    (whole,) = lm.runs_of(ids[:98], 4094, 100)
-    assert whole.tolist() == [4094, *range(98), 4094]
-    runs = lm.runs_of(ids, 4094, 400, 100)
-    assert len(runs) == 4 and sum(map(len, runs)) == 400
-    assert runs[0][0] == 4094 and runs[-1][-1] == 4094 and runs[1][0] > 1200
+def test_windows_are_drawn_from_start_to_end():
+    model = lm.Attention(64, np.arange(1, 65.0))
+    line = np.concatenate([[62], np.random.default_rng(5).integers(0, 62, 4000), [62]])
+    whole, _ = lm.chosen_windows(line, 63, model.half, 1.0)
+    given, asked = model.rows(line, 63)
+    assert len(whole) == len(given)
+    assert (np.where(whole[:, model.half + 1 :] == 63, -1, whole[:, model.half + 1 :].astype(np.int64)) == asked).all()
+    assert (whole[1:, : model.half] == given[:-1]).all() and (whole[0, : model.half] == 63).all()
+    assert (whole[:, model.half : -1][asked >= 0] == given[asked >= 0]).all()
+    some, draw = lm.chosen_windows(line, 63, model.half, 0.4)
+    at = [int(np.flatnonzero((whole == w).all(1))[0]) for w in some]
+    assert len(some) == len(draw) and 12 <= len(some) <= 38 and at[0] < 16 and at[-1] > 46
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(12)
+    lines = [np.concatenate([[62], np.tile(rng.permutation(8) + 8 * rng.integers(0, 4), 30), [62]]) for _ in range(60)]
+    model = lm.Attention(64, np.bincount(np.concatenate(lines), minlength=64) + 1.0)
+    windows = np.concatenate([lm.chosen_windows(line, 63, model.half, 1.0)[0] for line in lines])
+    before = lm.Scorer(model).score([line[1:-1] for line in lines[:5]], 62, 63).sum()
+    for turn in range(3):
+        model.train(windows, 63, turn, 3, batch=64)
+    assert lm.Scorer(model).score([line[1:-1] for line in lines[:5]], 62, 63).sum() > 0.6 * before
 
 
 def test_fast_scores_equal_the_plain_pass():
@@ -183,7 +201,7 @@ def test_scores_equal_brute_force(spark, odd):
                 counts[x] = counts.get(x, 0) + 1
     n, v = sum(counts.values()), len(counts)
     for head in (150_000, 8):
-        for r in lm.score(docs, PATH, head_words=head, steps=3).collect():
+        for r in lm.score(docs, PATH, head_words=head).collect():
             w = spelled[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), n)
             assert r.base_score == pytest.approx(sum(np.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
@@ -192,7 +210,7 @@ def test_scores_equal_brute_force(spark, odd):
 
 def test_the_end_token_is_known_however_few_documents_there_are(spark):
     docs = documents(spark, [" ".join(f"w{i}" for i in range(20)) + " w1" * k for k in range(4)]).repartition(1)
-    whole, part = ({r.doc_id: r for r in lm.score(docs, PATH, head_words=head, steps=1).collect()} for head in (150_000, 8))
+    whole, part = ({r.doc_id: r for r in lm.score(docs, PATH, head_words=head).collect()} for head in (150_000, 8))
     for i, r in whole.items():
         assert (part[i].n_known, part[i].n_tokens) == (r.n_known, r.n_tokens)
         assert part[i].base_score == pytest.approx(r.base_score, rel=1e-9)
@@ -211,10 +229,12 @@ def test_the_language_model_learns_from_all_training_documents(spark, odd):
     pairs = np.zeros((lm.SUBWORDS, lm.CLASSES))
     for line in lines:
         np.add.at(pairs, (line[:-1], model.group[line[1:]]), 1)
-    assert (lm.class_pairs(docs, train, ranks, model.group) == pairs).all()
+    read = lm.read_all(docs, train, ranks, model.group, 1.0, 3)
+    assert (lm.summed(read.filter("at is not null").select("at", "c"), lm.SUBWORDS * lm.CLASSES).reshape(-1, lm.CLASSES) == pairs).all()
     before = {k: v.copy() for k, v in model.p.items()}
-    windows = lm.learn_from_all(model, docs, train, ranks, int(seen.sum()), shard=500)
-    assert windows == sum(-(-(len(line) - 1) // model.half) for line in lines)
+    windows = read.filter("at is null")
+    assert {r.shard for r in windows.collect()} == {0, 1, 2}
+    assert lm.learn_from(model, windows.select("shard", "window"), 3) == windows.count() == sum(-(-(len(line) - 1) // model.half) for line in lines)
     assert all(model.p[k].shape == v.shape for k, v in before.items()) and (model.p["embed"] != before["embed"]).any()
 
 
@@ -340,6 +360,47 @@ def test_vector_links_equal_brute_force(spark):
     assert vector_dedup.link(frame.limit(0)).count() == 0
 
 
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
+
+
+def test_links_between_clusters_join_them(spark):
+    at = np.radians([0, 60, 20, 40])
+    got = vector_dedup.link(spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))], 1) for i, a in enumerate(at)], VECTORS)).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in got] == [(1, 0, True), (1, 0, False), (2, 0, False), (2, 0, False)]
+
+
+def test_vector_chains_and_recall(spark, monkeypatch):
+    # Many small lists, a finer level among them, and blocks: chains of near vectors cross all of them.
+    monkeypatch.setattr(vector_dedup, "LIST_ROWS", 8)
+    monkeypatch.setattr(vector_dedup, "CENTRE_ROWS", 60)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(14)
+    chains = []
+    for _ in range(20):
+        x = rng.standard_normal(16)
+        for _ in range(50):
+            chains.append(x := x / np.linalg.norm(x) + 0.06 * rng.standard_normal(16))
+    x = np.array(chains, np.float32)
+    order = rng.permutation(len(x))
+    frame = spark.createDataFrame([(int(i), x[i].tolist(), 1) for i in order], VECTORS)
+    got = {r.vec_id: r for r in vector_dedup.link(frame).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    asked = np.arange(0, len(x), 50)
+    assert (found <= near.sum(1)).all() and found[asked].sum() >= 0.9 * near.sum(1)[asked].sum() and found.sum() >= 0.9 * near.sum()
+    root = roots_of(list(zip(*np.nonzero(near), strict=True)))
+    assert np.mean([got[i].component_id == root.get(i, i) for i in range(len(x))]) >= 0.9
+
+
+def test_vector_ties_copies_and_clashing_columns(spark):
+    rows = [(5, [1.0, 0.0], 1)] * 1000 + [(4, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("clash") for c in ("uid", "n_links", "kept", "node", "cell", "codes")})
+    got = vector_dedup.link(frame).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(5, 1000, 4, False), (4, 1000, 4, True), (3, 0, 3, True)} and len(got) == 1002
+
+
 # ------------------------------------------------------------------ n-grams
 
 
@@ -380,9 +441,49 @@ def test_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert {g.n_links for g in got} == {49} and {g.class_id for g in got} == {0}
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+def roots_of(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def test_components_of_paths_stars_and_trees(spark):
+    rng = np.random.default_rng(13)
+    path = [0, *range(4999, 0, -1)]
+    shapes = [
+        [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)],
+        list(zip(path[:-1], path[1:], strict=True)),
+        [(60_000, i) for i in range(50_000)],
+        [(i, int(rng.integers(0, i))) for i in range(1, 3000) if i % 11],
+    ]
+    for edges in shapes:
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5, "b", "a")).collect()}
+        assert got == roots_of([e for e in edges if e[0] != e[1]])
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_over_many_tasks(spark):
+    path = [0, *range(299, 0, -1)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a long, b long").repartition(8, "b", "a")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.root for r in got} == dict.fromkeys(range(300), 0)
+
+
+def test_local_roots_in_any_order():
+    path = np.array([0, *range(4999, 0, -1)])
+    assert (local_roots(path[:-1], path[1:], 5000) == 0).all()
 
 
 # ------------------------------------------------------------------ pipeline
@@ -408,3 +509,190 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     out = cp.run(spark, at).collect()
     assert len(out) == mixed.count() and all(r.round_trip and len(r.ids) == 4 * r.n_tokens for r in out)
+
+
+# ------------------------------------------------------------------ repeated rows, clashing names, long texts, empty tables
+
+CLASHES = ["score", "predicted", "lang_pred", "link_", "quality", "uid", "label_", "h_", "text_", "c0", "k0", "size", "target", "copies", "ids", "held_out", "n_tokens"]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """One doc_id a thousand times, half of them alike, and a hundred others."""
+    rng = np.random.default_rng(15)
+    same = "the same words and the same words " + words_of(rng, 30)
+    rows = [(7, same if i % 2 else f"row {i} " + words_of(rng, 8), "en", "hot", 0) for i in range(1000)]
+    rows += [(100 + i, words_of(rng, 60) + (" grobnik vile" if i % 3 == 0 else ""), "de" if i % 2 else "en", "cold", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("clash") for c in CLASHES}).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(7, 1, 0)] * 3 + [(100 + i, int(i % 4 > 0), int(i % 3 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+
+
+def test_repeated_rows_are_learnt_once(spark, repeated, labels):
+    got = features.sample(repeated.filter("doc_id = 7"), F.col("lang"), 400, "language").collect()
+    assert len(got) == 400 and len({r.h_ for r in got}) == 400
+    known = labels.select("doc_id", "quality").distinct()
+    assert features.sample(repeated, F.col("quality"), 10_000, "quality", known).count() == 501 + 100
+    assert features.sample(repeated, F.col("quality"), 30, "quality", known).groupBy("label_").count().filter("count > 30").count() == 0
+    for many in (5, 50):
+        again = [sorted(r.h_ for r in features.sample(repeated, F.lit(0), many, "plain").collect()) for _ in range(2)]
+        assert again[0] == again[1] and len(again[0]) == many
+
+
+def test_classifiers_on_repeated_rows_and_clashing_names(spark, repeated, labels):
+    n = repeated.count()
+    keep = ("doc_id", "score", "predicted")
+    for scored, out in ((language_id.identify(repeated, language_id.fit(repeated), keep), "lang_pred"), (quality_model.grade(repeated, quality_model.fit(repeated, labels), keep), "predicted"), (toxicity.rate(repeated, toxicity.fit(repeated, labels), keep), "predicted")):
+        assert out in scored.columns and "score_" in scored.columns and scored.count() == n
+        assert all(0 <= r.score <= 1 and r.score_ == "clash" for r in scored.collect())
+    assert toxicity.clean(repeated, toxicity.fit(repeated, labels)).columns == repeated.columns
+
+
+def test_other_operators_on_repeated_rows_and_clashing_names(spark, repeated):
+    n = repeated.count()
+    coded = bpe.encode(repeated, PATH, PATTERN, keep=("doc_id", "text", "k0"), decoded=True)
+    assert all(bytes(r.decoded).decode() == r.text and r.k0 == "clash" for r in coded.collect())
+    assert quality_rules.kept(repeated).columns == repeated.columns and quality_rules.judge(repeated).count() == n
+    linked = ngram_join.link(repeated)
+    assert linked.count() == n and linked.filter("text like 'the same%'").select("link_.n_links").distinct().collect()[0][0] == 499
+    alone = ngram_join.representatives(repeated)
+    assert alone.columns == repeated.columns and alone.filter("text like 'the same%'").count() == 1
+    scored = lm.score(repeated, PATH).collect()
+    assert len(scored) == n and len({(r.score, r.base_score) for r in scored if r.doc_id == 7}) <= 501
+
+
+def test_shards_stay_bounded_on_repeated_rows(spark, repeated):
+    sizes = packing.pack(repeated, PATH, PATTERN, length=256, shard_segments=100).groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert sum(r.n for r in sizes) == repeated.count() and max(r.n for r in sizes) <= 160
+
+
+def test_equal_rows_meet_the_target(spark):
+    rows = [(7, "a b c", "x")] * 1000 + [(100 + i, "a b c", "y") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for frame in (docs, docs.repartition(5)):
+        out = mixing.mix(frame).collect()
+        for want in {r.target for r in out}:
+            mine = [r for r in out if r.target == want]
+            assert abs(sum(r["taken"] for r in mine) - want) <= 3 and max(r["taken"] for r in mine) <= 9
+        runs.append(sorted((r.doc_id, r["taken"]) for r in out))
+    assert runs[0] == runs[1]
+    kept = mixing.mix(docs.withColumn("uid", F.lit("clash")), keep=("uid", "text"), names=("uid", "text"))
+    assert kept.count() == 1500 and {r.uid for r in kept.collect()} == {"clash"}
+
+
+def test_long_texts(spark, labels):
+    rng = np.random.default_rng(16)
+    long = words_of(rng, 800_000)
+    assert len(long) > 5_000_000 - 900_000
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, long + " more", "en", "a"), (100, "kap lox grobnik " * 20, "de", "b"), (103, "kap lox grobnik " * 20, "de", "b")], "doc_id long, text string, lang string, source string")
+    hasher = features.NgramHasher(buckets=64)
+    whole, features.TEXT_BYTES = features.TEXT_BYTES, 1 << 24
+    one = hasher([long])
+    features.TEXT_BYTES = whole
+    assert np.allclose(hasher([long]), one, rtol=1e-5)
+    assert language_id.identify(docs, language_id.fit(docs, held=9)).count() == 4
+    assert quality_model.grade(docs, quality_model.fit(docs, labels)).count() == 4
+    assert toxicity.rate(docs, toxicity.fit(docs, labels)).count() == 4
+    assert {r.doc_id: r.link_.n_links for r in ngram_join.link(docs).collect()} == {1: 1, 2: 1, 100: 1, 103: 1}
+    assert [len(r.ids) > 0 for r in bpe.encode(docs, PATH, PATTERN).collect()] == [True] * 4
+    assert all(r.n_tokens > 10 and r.score < 0 for r in lm.score(docs, PATH).collect())
+    assert packing.pack(docs, PATH, PATTERN).count() > 100 and mixing.mix(docs).count() == 4 and quality_rules.judge(docs).count() == 4
+
+
+def test_empty_tables(spark, none, labels):
+    no = labels.limit(0)
+    docs = none.select("doc_id", "text", "lang", "source")
+    assert lm.score(docs, PATH).count() == 0
+    assert quality_model.grade(docs, quality_model.fit(docs, labels)).count() == 0 == quality_model.grade(docs, quality_model.fit(docs, no)).count()
+    assert toxicity.rate(docs, toxicity.fit(docs, labels)).count() == 0 == toxicity.rate(docs, toxicity.fit(docs, no)).count()
+
+
+def test_pipeline_on_empty_tables_and_clashing_names(spark, tmp_path, none, repeated, labels):
+    import corpus_pipeline as cp
+
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path / "a")).count() == 0
+    docs = repeated
+    for name, step in cp.STAGES[:-1]:
+        docs = step(spark, docs, str(tmp_path / "a"))
+        assert docs.columns == repeated.columns, name
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path / "a")).filter("not round_trip").count() == 0
+
+
+def test_workers_need_no_install(tmp_path):
+    """What is sent to workers loads where the repository is not on the path."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    ranks = {bytes([i]): i for i in range(256)}
+    (tmp_path / "sent").write_bytes(cloudpickle.dumps((bpe.Codec, bpe.codec, packing.Library, lm.Scorer, lm.Speller, toxicity.ToxicityModel({}, 0.0), features.NgramHasher(), quality_model.statistics)))
+    code = f"import pickle, sys; sys.path[:] = [p for p in sys.path if p]; got = pickle.load(open({str(tmp_path / 'sent')!r}, 'rb')); print(got[0]({ranks!r}, {PATTERN!r}).encode(['a b']))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert "ModuleNotFoundError" not in done.stderr and done.returncode == 0, done.stderr
+
+
+# ------------------------------------------------------------------ classifiers against direct computation
+
+
+def test_machine_is_the_optimum():
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((120, 5)) + np.repeat([[0.8], [-0.8]], 60, 0)
+    y, c = np.repeat([1.0, -1.0], 60), 20.0
+    w = language_id.train_svm(x, y, epochs=4000, c=c)
+    z = np.hstack([x, np.ones((120, 1))])
+    cost = np.full(120, c)  # both classes are as large, so their weights are 1
+
+    def loss(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+
+    v = np.zeros(6)
+    for _ in range(60):  # Newton's steps on the primal
+        at = y * (z @ v) < 1
+        gradient = v - 2 * (cost * y * np.maximum(0, 1 - y * (z @ v))) @ z
+        v = v - np.linalg.solve(np.eye(6) + 2 * (z[at].T * cost[at]) @ z[at], gradient)
+    assert loss(w) <= loss(v) * (1 + 1e-3) + 1e-6
+
+
+def test_quadratic_scores_equal_the_densities():
+    rng = np.random.default_rng(18)
+    y = (np.arange(400) % 3 > 0).astype(int)
+    x = rng.standard_normal((400, 6)) @ rng.standard_normal((6, 6)) + y[:, None]
+    model = quality_model.QuadraticModel(x, y)
+    z = (x - x.mean(0)) / x.std(0)
+    parts = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum(p * (y == c).mean() for c, p in enumerate(parts))
+    logs = []
+    for c, cov in enumerate(parts):
+        keep = max(quality_model.SHRINK_POOLED, 6 / (y == c).sum())
+        cov = (1 - keep) * cov + keep * pooled
+        cov = (1 - quality_model.SHRINK_IDENTITY) * cov + quality_model.SHRINK_IDENTITY * np.trace(cov) / 6 * np.eye(6)
+        away = z - z[y == c].mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-quality_model.TEMPER * (logs[1] - logs[0]))), atol=1e-6)
+
+
+def test_risk_gradient_is_the_numeric_one():
+    rng = np.random.default_rng(19)
+    p, u = rng.integers(0, 2, (30, 4)).astype(float), rng.integers(0, 2, (50, 4)).astype(float)
+    p, u = np.hstack([p, np.ones((30, 1))]), np.hstack([u, np.ones((50, 1))])
+    for prior, least in ((0.2, True), (0.9, False)):
+        w = rng.standard_normal(5)
+        g, kept = toxicity.risk_gradient(p, u, w, prior, 0.0)
+        log_loss = lambda z: np.logaddexp(0, -z)
+
+        def risk(v, prior=prior):
+            negative = log_loss(-(u @ v)).mean() - prior * log_loss(-(p @ v)).mean()
+            return prior * log_loss(p @ v).mean() + negative, negative
+
+        assert kept == (risk(w)[1] >= 0)
+        part = 0 if kept else 1
+        numeric = np.array([(risk(w + e)[part] - risk(w - e)[part]) / 2e-6 for e in np.eye(5) * 1e-6])
+        assert np.allclose(g if kept else -g, numeric, atol=1e-5)

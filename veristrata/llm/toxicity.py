@@ -48,6 +48,16 @@ class ToxicityModel:
         return [s, (s >= THRESHOLD).astype(np.int32)]
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, beta: float) -> tuple[np.ndarray, bool]:
+    """The step's gradient for positives p and unlabelled rows u: of the risk, or where its negative part
+    is under -beta that part's, turned around; and which."""
+    sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+    up = prior * (p.T @ (sp - 1)) / len(p)
+    negative = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+    down = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+    return (up + down, True) if negative >= -beta else (-down, False)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 300, decay: float = 1e-6, beta: float = 0.02) -> np.ndarray:
     """Weights (the last is the bias) for rows of 0 and 1, by Adam on the non-negative risk with the logistic loss."""
     p, u = (np.hstack([m, np.ones((len(m), 1), np.float32)]).astype(np.float32) for m in (positive, unlabelled))
@@ -61,11 +71,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
         rng.shuffle(u)
         parts = max(1, min(8, len(p) // 32))
         for pb, ub in zip(np.array_split(p, parts), np.array_split(u, parts), strict=True):
-            sp, su = 1 / (1 + np.exp(-pb @ w)), 1 / (1 + np.exp(-ub @ w))
-            up = prior * (pb.T @ (sp - 1)) / len(pb)
-            negative = np.logaddexp(0, ub @ w).mean() - prior * np.logaddexp(0, pb @ w).mean()
-            down = (ub.T @ su) / len(ub) - prior * (pb.T @ sp) / len(pb)
-            g = up + down if negative >= -beta else -down
+            g, _ = risk_gradient(pb, ub, w, prior, beta)
             g = g + decay * np.where(np.arange(len(w)) < len(w) - 1, w, 0)
             step += 1
             first = 0.9 * first + 0.1 * g
