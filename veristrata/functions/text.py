@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal and stop words dropped from organisation names.
-NAME_DROPPED = "the ltd limited llp plc inc cic trust foundation charity charitable uk and".split()
+NAME_DROPPED = ["the", "ltd", "limited", "llp", "plc", "inc", "cic", "trust", "foundation", "charity", "charitable", "uk", "and"]
 
 # Lanes in order of precedence, each with its cues.
 LANE_CUES = (
@@ -31,10 +33,12 @@ def slug(value: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
-def dependency_family(doi: Column, pmid: Column, title: Column, author: Column, year: Column) -> Column:
-    """doi:, else pmid:, else a heuristic key of title, first author and year."""
-    heuristic = F.concat_ws(":", F.lit("heuristic"), slug(title, 100), F.coalesce(F.lower(author), F.lit("unknown")), F.coalesce(year, F.lit("undated")))
-    return F.coalesce(F.concat(F.lit("doi:"), normalise_doi(doi)), F.concat(F.lit("pmid:"), pmid), heuristic)
+def dependency_family(doi: Column, pmid: Column, title: Column, author: Column, published: Column) -> Column:
+    """doi:, else pmid:, else a heuristic key of title, first author and the first four characters of the date."""
+    told = lambda c: F.nullif(c, F.lit(""))
+    year = F.substring(F.coalesce(told(published), F.lit("unknown")), 1, 4)
+    heuristic = F.concat_ws(":", F.lit("heuristic"), slug(title, 100), F.coalesce(F.lower(author), F.lit("unknown")), year)
+    return F.coalesce(F.concat(F.lit("doi:"), normalise_doi(told(doi))), F.concat(F.lit("pmid:"), told(pmid)), heuristic)
 
 
 def evidence_id(source: Column, record: Column) -> Column:
@@ -53,17 +57,21 @@ def normalise_name(name: Column) -> Column:
 
 
 def normalise_author(name: Column) -> Column:
-    """`surname,initial` from "Surname, Given", "Given Surname" or "Surname I."."""
-    clean = F.trim(F.regexp_replace(name, r"\.", ""))
+    """`surname,initial` from "Surname, Given", "Given Surname" or "Surname I."; a name alone has no initial."""
+    clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z\s,.-]", " "), r"^\s+|\s+$", "")
     last, first = F.regexp_extract(clean, r"(\S+)$", 1), F.regexp_extract(clean, r"^(\S+)", 1)
-    key = lambda s, g: F.concat(F.lower(s), F.lit(","), F.lower(F.substring(g, 1, 1)))
-    return (
-        F.when(clean == "", F.lit(""))
-        .when(clean.contains(","), key(F.trim(F.split_part(clean, F.lit(","), F.lit(1))), F.trim(F.split_part(clean, F.lit(","), F.lit(2)))))
-        .when(~clean.contains(" "), F.lower(clean))
-        .when(last.rlike("^[A-Z]{1,3}$"), key(first, last))
-        .otherwise(key(last, first))
-    )
+    after, before = F.regexp_extract(clean, r"^\S+\s+([\s\S]*)$", 1), F.regexp_extract(clean, r"^([\s\S]*?)\s*\S+$", 1)
+    # A short last word stands for the given names.
+    led = (first != clean) & (F.length(F.regexp_replace(last, r"^\.+|\.+$", "")) <= 2)
+    comma = F.contains(clean, F.lit(","))
+    surname = F.lower(F.regexp_replace(F.when(comma, F.regexp_extract(clean, r"^([^,]*),", 1)).when(led, first).otherwise(last), r"^\s+|\s+$", ""))
+    rest = F.when(comma, F.regexp_extract(clean, r"^[^,]*,([\s\S]*)$", 1)).when(led, after).otherwise(before)
+    return F.when(surname == "", "").otherwise(F.concat(surname, F.lit(","), F.lower(F.regexp_extract(rest, "([A-Za-z])", 1))))
+
+
+def author_keys(names: Column) -> Column:
+    """Sorted distinct keys of a list of names."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, normalise_author), lambda k: k != "")))
 
 
 def trial_ids(text: Column) -> Column:
@@ -85,15 +93,23 @@ def is_container(title: Column, content: Column) -> Column:
 
 
 def lane(text: Column) -> Column:
-    """(lane, confidence, hits): the first lane with any cue, even where its confidence is then too low."""
-    hits = [F.size(F.filter(F.array(*[text.rlike("(?i)" + c) for c in cues]), lambda x: x)) for _, cues in LANE_CUES]
-    name, count = F.lit("UNCLASSIFIED"), F.lit(0)
-    for (lane_name, _), n in reversed(list(zip(LANE_CUES, hits, strict=True))):
-        name, count = F.when(n > 0, F.lit(lane_name)).otherwise(name), F.when(n > 0, n).otherwise(count)
-    sure = F.when(count > 0, F.least(F.lit(0.9), F.lit(0.5) + F.lit(0.15) * count)).otherwise(0.0)
-    return F.struct(F.when(sure >= CONFIDENCE_FLOOR, name).otherwise("UNCLASSIFIED").alias("lane"), sure.alias("confidence"), count.cast("long").alias("hits"))
+    """(lane, confidence, hits): the first lane with any cue, even where its confidence is then too low.
+
+    The counts are made once a text, in an array that the choice then reads.
+    """
+    count = lambda cues: sum((F.regexp_like(low, F.lit(c)).cast("int") for c in cues), F.lit(0))
+    low = F.lower(text)
+    counted = F.transform(F.array(F.array(*[F.struct(F.lit(name).alias("lane"), count(cues).alias("n")) for name, cues in LANE_CUES])), lambda all_: F.get(F.filter(all_, lambda x: x["n"] > 0), 0))
+
+    def verdict(first: Column) -> Column:
+        hits = F.coalesce(first["n"], F.lit(0))
+        sure = F.when(hits > 0, F.least(F.lit(0.9), F.lit(0.5) + F.lit(0.15) * hits)).otherwise(0.0)
+        return F.struct(F.when(sure >= CONFIDENCE_FLOOR, first["lane"]).otherwise("UNCLASSIFIED").alias("lane"), sure.alias("confidence"), hits.cast("long").alias("hits"))
+
+    return F.get(F.transform(counted, verdict), 0)
 
 
 def phrases_in(text: Column, phrases: list[str]) -> Column:
     """The phrases that start a word in the text, in their order."""
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.regexp_like(text, F.concat(F.lit(r"(?i)\b\Q"), p, F.lit(r"\E"))))
+    starts = [F.when(F.regexp_like(text, F.lit(r"(?i)\b" + re.escape(p))), F.lit(p)) for p in phrases]
+    return F.array_compact(F.array(*starts))

@@ -1,3 +1,3 @@
 """Queries over the driver's tables and their SQL; importing the package registers all of them."""
 
-from . import extended, registry  # noqa: F401
+from . import extended, registry, rules  # noqa: F401
