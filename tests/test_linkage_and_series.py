@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from veristrata.operators import linkage, series
+from veristrata.operators import graph, linkage, series
 
 DAY = dt.date
 
@@ -26,12 +26,14 @@ def test_last_notice_counts(spark):
 
 
 def test_entities_resolve_with_their_tier(spark):
-    rows = [(1, "R1", "a", "x", 1), (2, "R1", "b", "x", 2), (3, None, "b", "X", 2), (4, None, "c", "x", 5), (5, None, "c", "y", 5), (6, "R2", "d", "x", 6), (7, "R2", "e", "x", 7), (8, None, "f", "x", 8), (9, None, "f", "x", None)]
-    entities = spark.createDataFrame(rows, "node long, strong string, name string, jurisdiction string, weak int")
-    found = linkage.resolve(entities)
-    assert {r.node: r.root for r in found.collect()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 8, 9: 8}
-    assert {r.root: r.tier for r in linkage.tiers(found, entities).collect()} == {1: "CORROBORATED", 6: "STRONG", 8: "NAME_ONLY"}
-    assert {r.node for r in linkage.resolve(entities, names=False).collect()} == {1, 2, 6, 7}
+    rows = [(1, {"lei": "R1"}, "a", "x"), (2, {"lei": " r1", "site": "s"}, "b", "x"), (3, {"site": "S"}, "The B Ltd", "X"), (4, {}, "c", "x"), (5, {}, "c", "y"), (6, {"ror": "R2"}, "d", "x"), (7, {"ror": "R2"}, "e", "x"), (8, {}, "f", "x"), (9, {}, "f", "x"), (10, {}, "g", "x"), (11, {}, "g", "x")]
+    entities = spark.createDataFrame([(f"{n:02d}", name, place, ids) for n, ids, name, place in rows], "node string, name string, jurisdiction string, identifiers map<string,string>")
+    ties = spark.createDataFrame([("10", "99"), ("98", "08"), ("99", "11")], "a string, b string")
+    found = graph.resolve_bodies(entities, ties)
+    assert {r.node: r.root for r in found.collect()} == {"01": "01", "02": "01", "03": "01", "06": "06", "07": "06", "08": "08", "09": "08", "10": "10", "11": "10"}
+    assert {r.root: r.tier for r in graph.merge_tiers(found, entities, ties).collect()} == {"01": "CORROBORATED_NAME", "06": "STRONG_IDENTIFIER", "08": "NAME_ONLY", "10": "CORROBORATED_NAME"}
+    assert {r.node for r in graph.resolve_bodies(entities, ties, graph.STRONG).collect()} == {"01", "02", "06", "07"}
+    assert {r.node for r in graph.resolve_bodies(entities, ties, graph.CORROBORATED).collect()} == {"01", "02", "03", "06", "07", "10", "11"}
 
 
 def test_intensity_leaves_out_months_without_both(spark):

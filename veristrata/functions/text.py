@@ -80,6 +80,16 @@ def trial_ids(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.upper(F.replace(x, F.lit(" "), F.lit(""))))))
 
 
+# Registration numbers that join reports of one study.
+REGISTRATIONS = (r"\bNCT\d{8}\b", r"\bISRCTN\d{8}\b", r"\bEudraCT[- ]?\d{4}-\d{6}-\d{2}\b", r"\bCRD4?2?\d{10,13}\b", r"\bACTRN\d{14}\b", r"\bChiCTR[-A-Z]*\d{6,10}\b", r"\bDRKS\d{8}\b", r"\bNTR\d{3,4}\b")
+
+
+def registrations(text: Column) -> Column:
+    """Distinct registration numbers of all schemes, upper case, spaces removed, sorted."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), 0) for p in REGISTRATIONS])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.upper(F.replace(x, F.lit(" "), F.lit(""))))))
+
+
 def split_list(value: Column) -> Column:
     """Items of a list written with commas or semicolons."""
     return F.filter(F.transform(F.split(value, "[,;]"), F.trim), lambda x: x != "")

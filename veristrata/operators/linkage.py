@@ -1,12 +1,11 @@
-"""Links between registers: registrations and publications, notices and works, entities and bodies."""
+"""Links between registers: registrations and publications, notices and works."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_doi, trial_ids
-from .graph import components, exact_key_edges, merge_tier
 
 
 def link_registrations(registrations: DataFrame, publications: DataFrame, cutoff: str) -> DataFrame:
@@ -42,27 +41,6 @@ def screen_retractions(works: DataFrame, notices: DataFrame) -> DataFrame:
     return works.withColumn("key", normalise_doi(F.col("doi"))).join(last, "key", "left").select("work_id", F.col("type").alias("notice"), status.alias("status"))
 
 
-def resolve(entities: DataFrame, names: bool = True) -> DataFrame:
-    """(node, root, size) of entities (node, strong, name, jurisdiction) that are one body.
-
-    A shared strong identifier links; with `names`, so does a shared name in one jurisdiction.
-    Bodies of one entity are left out; the root is the least node.
-    """
-    edges = exact_key_edges(entities, "node", "strong")
-    if names:
-        place = entities.select("node", F.when(F.col("name").isNotNull(), F.concat_ws("|", "name", F.lower(F.coalesce("jurisdiction", F.lit(""))))).alias("k"))
-        edges = edges.union(exact_key_edges(place, "node", "k"))
-    found = components(edges, entities.select("node").distinct())
-    return found.withColumn("size", F.count("*").over(Window.partitionBy("root"))).filter("size > 1")
-
-
-def tiers(resolved: DataFrame, entities: DataFrame) -> DataFrame:
-    """(root, size, tier): a merge is corroborated if two of its entities share a weak identifier."""
-    members = resolved.join(entities.select("node", "strong", "weak"), "node")
-    seen = Window.partitionBy("root", "weak")
-    return merge_tier(members.withColumn("corroborated", F.col("weak").isNotNull() & (F.count("*").over(seen) > 1)))
-
-
 def registry_summary(rows: DataFrame, key: str, family: str, expected: int) -> DataFrame:
     """One row: rows against those expected, repeated keys, blank families and distinct families."""
     per_key = rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim(F.col(family)), F.lit("")) == "").alias("blank"))

@@ -85,15 +85,34 @@ def tertiles(sizes: DataFrame) -> DataFrame:
 
 
 def slope_breaks(series: DataFrame, k: int) -> DataFrame:
-    """(i, value): slope of the k points from i on, less the slope of the k points before it."""
+    """(i, value): how far the slope of the k points from i on is from that of the k points before it."""
     w = Window.orderBy("i")
     after, before = w.rowsBetween(0, k - 1), w.rowsBetween(-k, -1)
     slope = lambda f: F.regr_slope(F.col("value"), F.col("i").cast("double")).over(f)
     full = (F.count("value").over(after) == k) & (F.count("value").over(before) == k)
-    return series.select("i", F.when(full, F.round(slope(after) - slope(before), 4)).alias("slope_break")).filter("slope_break is not null")
+    return series.select("i", F.when(full, F.round(F.abs(slope(after) - slope(before)), 4)).alias("slope_break")).filter("slope_break is not null")
 
 
 def standardised(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum over bands of weight share times count per head. counts: (group, band, n, population); weights: (band, w)."""
     share = weights.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy()))
     return counts.join(share, "band").groupBy("grp").agg(F.round(F.sum(F.col("w") * F.col("n") / F.col("population")), 6).alias("rate"))
+
+
+def index_reasons(points: DataFrame) -> DataFrame:
+    """(name, value, count, denominator) to (name, n, reason): why a series is an index and no trend; null if it is one."""
+    got = points.groupBy("name").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.count_if((F.col("count") == F.col("denominator"))).alias("equal")
+    )
+    every = F.concat(F.lit(" in all "), F.col("n").cast("string"), F.lit(" periods - index, not trend"))
+    reason = (
+        F.when(F.col("missing") > 0, "missing value present")
+        .when(F.col("least") == F.col("greatest"), F.concat(F.lit("constant value "), F.col("least").cast("string"), every))
+        .when(F.col("equal") == F.col("n"), "count == denominator in every period - index, not trend")
+    )
+    return got.select("name", "n", reason.alias("reason"))
+
+
+def usable(complete, pooled, n_points):
+    """Whether a recovered series can be used: whole, not pooled and of three points or more."""
+    return F.coalesce(complete & ~pooled & (n_points >= 3), F.lit(False))

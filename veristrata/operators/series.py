@@ -11,9 +11,9 @@ from .stats import pearson
 
 
 def intensity(child: DataFrame, parent: DataFrame, min_months: int = 12) -> DataFrame:
-    """Ratio of sums by provider over the months where both (provider, period, value) have a value."""
+    """Ratio of sums by provider over the months where both (provider, period, value) have a value, the parent one above 0."""
     both = child.select("provider", "period", F.col("value").alias("child")).join(parent.select("provider", "period", F.col("value").alias("parent")), ["provider", "period"])
-    got = both.filter("child is not null and parent is not null").groupBy("provider").agg(F.count("*").alias("months"), F.sum("child").alias("child"), F.sum("parent").alias("parent"))
+    got = both.filter("child is not null and parent > 0").groupBy("provider").agg(F.count("*").alias("months"), F.sum("child").alias("child"), F.sum("parent").alias("parent"))
     return got.filter((F.col("months") >= min_months) & (F.col("parent") > 0)).select("provider", "months", F.round(F.col("child") / F.col("parent"), 6).alias("intensity"))
 
 
@@ -77,6 +77,22 @@ def rates(rows: DataFrame, group: str, done: str, least: int = 5) -> DataFrame:
     return got.withColumn("rate", F.when(F.col("n") >= least, F.round(F.col("done") / F.col("n"), 6)))
 
 
+def corpus_metrics(evidence: DataFrame, least: int = 5) -> DataFrame:
+    """One row over admitted records (admitted, family, lane, kind, linked, retracted, updates): what a corpus holds."""
+    a = evidence.filter("admitted")
+    registered = F.lower(F.coalesce("kind", F.lit("publication"))) == "registration"
+    amended = (F.col("lane") == "CORRECTION_RETRACTION") | F.coalesce("retracted", F.lit(False)) | (F.coalesce("updates", F.lit("")) != "")
+    raw = evidence.agg(F.count("*").alias("raw_records"))  # one row
+    got = a.agg(F.count("*").alias("admitted_records"), F.countDistinct("family").alias("independent_families"), F.count_if(registered).alias("registrations"), F.count_if(~registered).alias("publications"), F.count_if(~registered & (F.coalesce("linked", F.lit("")) != "")).alias("linked_publications"), F.count_if(amended).alias("corrections"))
+    return raw.join(got)
+
+
+def publication_rates(evidence: DataFrame, least: int = 5) -> DataFrame:
+    """(orientation, registrations, published, rate) of admitted registrations; under `least` of them there is no rate."""
+    a = evidence.filter("admitted and lower(coalesce(kind, 'publication')) = 'registration'")
+    return rates(a.withColumn("orientation", F.coalesce("orientation", F.lit("NOT_ASSESSABLE"))), "orientation", "published", least)
+
+
 def selection_power(designs: DataFrame, replicates: int = 600, seed: int = 20260815) -> DataFrame:
     """Power of a two-proportion z test for (design, n, baseline, odds_ratio, exposed), by simulation.
 

@@ -11,33 +11,65 @@ def failures(*rules: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules]))
 
 
+SCOPE = ["construct", "population", "period", "jurisdiction", "estimand"]
+MISMATCH = {"construct": "CONSTRUCT_MISMATCH", "population": "SCOPE_MISMATCH", "period": "PERIOD_MISMATCH", "jurisdiction": "JURISDICTION_MISMATCH", "estimand": "ESTIMAND_MISMATCH"}
+MODEL_FAMILIES = ["INTRINSIC_RECOGNITION", "MULTIFACTORIAL_DEVELOPMENTAL_INSTITUTIONAL", "ASCERTAINMENT_SERVICE", "MIXTURE_HETEROGENEITY", "NULL_OR_ALTERNATIVE"]
+
+
+def folded(value: Column) -> Column:
+    return F.lower(F.regexp_replace(value, r"^\s+|\s+$", ""))
+
+
+def opposed(left: Column, right: Column) -> Column:
+    against = ["WEAKENS", "FALSIFIES"]
+    return ((left == "SUPPORTS") & right.isin(against)) | (left.isin(against) & (right == "SUPPORTS"))
+
+
+def pair_class(a: Column, b: Column) -> Column:
+    """What two results (structs) are to each other: the first part of their scopes that differs, or whether they oppose."""
+    out = F.when(a["proposition_id"] != b["proposition_id"], "NOT_COMPARABLE")
+    for field in SCOPE:
+        out = out.when(folded(a[field]) != folded(b[field]), MISMATCH[field])
+    return out.when(opposed(a["direction"], b["direction"]), "SUBSTANTIVE_CONTRADICTION").otherwise("CONSISTENT")
+
+
 def contradictions(results: DataFrame) -> DataFrame:
-    """Pairs of results of one scope with opposing directions, by an equi-join on the scope."""
-    b = results.select(*[F.col(c).alias(f"{c}_b") for c in results.columns])
-    same = (F.col("scope") == F.col("scope_b")) & (F.col("result_id") < F.col("result_id_b"))
-    opposed = ((F.col("direction") == "SUPPORTS") & (F.col("direction_b") == "WEAKENS")) | ((F.col("direction") == "WEAKENS") & (F.col("direction_b") == "SUPPORTS"))
-    return results.join(b, same & opposed).select("result_id", F.col("result_id_b").alias("other_id"), "scope")
-
-
-def indices(contributions: DataFrame) -> DataFrame:
-    """(model, family, impact, weight, ordinal): each family counts once a model, by its greatest magnitude, the earliest on ties."""
-    size = F.col("impact") * F.col("weight")
-    first = Window.partitionBy("model", "family").orderBy(F.desc(F.abs(size)), "ordinal")
-    once = contributions.withColumn("n", F.row_number().over(first)).filter("n = 1")
-    got = once.groupBy("model").agg(F.sum(size).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("families"))
-    value = got.withColumn("index", F.round(F.coalesce(F.try_divide(F.col("s"), F.col("w")), F.lit(0.0)), 6))
-    return value.select("model", "families", "index", (F.col("index") >= F.max("index").over(Window.partitionBy()) - 0.05).alias("leading"))
-
-
-def claim_tier(least: Column, causal: Column, temporal: Column, requested: Column) -> Column:
-    """The tier a certainty vector can carry: rules from the strongest down."""
-    return (
-        F.when(requested & (least >= 0.80) & (causal >= 0.75) & (temporal >= 0.75), "HIGH")
-        .when(requested & (least >= 0.70) & (causal >= 0.70) & (temporal >= 0.70), "MODERATE")
-        .when(requested & (least >= 0.60) & (causal >= 0.50), "LIMITED")
-        .when(least >= 0.40, "ASSOCIATION_ONLY")
-        .otherwise("DESCRIPTIVE_ONLY")
-    )
+    """Pairs of results of one proposition and scope with opposing directions, by an equi-join on both."""
+    keyed = results.select("result_id", "direction", F.concat_ws("␟", "proposition_id", *[folded(F.col(c)) for c in SCOPE]).alias("key"))
+    b = keyed.select(F.col("result_id").alias("other_id"), F.col("direction").alias("other"), "key")
+    return keyed.join(b, "key").filter((F.col("result_id") < F.col("other_id")) & opposed(F.col("direction"), F.col("other"))).select("result_id", "other_id")
+
+
+def indices(results: DataFrame) -> DataFrame:
+    """(run_id, result_id, ordinal, weight, families, impacts) to (run_id, model, families, index, leading).
+
+    A result's weight is shared among its research families; each family counts once a model, by its
+    greatest contribution, the earliest on ties. Every model has a row, without contributions at 0.
+    """
+    alone = F.array(F.concat(F.lit("result:"), F.col("result_id").cast("string")))
+    told = results.select("run_id", "ordinal", "weight", F.when(F.size("families") > 0, F.col("families")).otherwise(alone).alias("families"), F.explode("impacts").alias("model", "impact"))
+    parts = told.select("run_id", "ordinal", "model", "impact", (F.col("weight") / F.size("families")).alias("share"), F.explode("families").alias("family"))
+    size = F.col("impact") * F.col("share")
+    best = F.max_by(F.struct(size.alias("size"), F.abs("share").alias("share")), F.struct(F.abs(size), -F.col("ordinal")))
+    once = parts.groupBy("run_id", "model", "family").agg(best.alias("b"))
+    got = once.groupBy("run_id", "model").agg(F.sum("b.size").alias("s"), F.sum("b.share").alias("w"), F.count("*").alias("families"))
+    every = results.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(m) for m in MODEL_FAMILIES])).alias("model"))
+    value = every.join(got, ["run_id", "model"], "left").select("run_id", "model", F.coalesce("families", F.lit(0)).alias("families"), F.round(F.coalesce(F.try_divide("s", "w"), F.lit(0.0)), 6).alias("index"))
+    return value.withColumn("leading", F.col("index") >= F.max("index").over(Window.partitionBy("run_id")) - 0.05)  # five rows a run
+
+
+def synthesis_warnings(indices_of: DataFrame, contradicted: DataFrame) -> DataFrame:
+    """(run_id, leading, warnings) of the indices and (run_id, contradictions)."""
+    got = indices_of.groupBy("run_id").agg(F.array_sort(F.collect_list(F.when(F.col("leading"), F.col("model")))).alias("leading"), F.max(F.abs("index")).alias("most"))
+    both = got.join(contradicted, "run_id", "left")
+    told = F.array(F.lit("COMPARATIVE_SUPPORT_INDEX_IS_NOT_A_TRUTH_PROBABILITY"), F.lit("MODEL_AGREEMENT_HAS_ZERO_EVIDENTIAL_WEIGHT"))
+    more = failures(("UNRESOLVED_SUBSTANTIVE_CONTRADICTION", F.coalesce("contradictions", F.lit(0)) > 0), ("EVIDENCE_DOES_NOT_DISCRIMINATE_BETWEEN_MODELS", F.col("most") < 0.05))
+    return both.select("run_id", "leading", F.concat(told, more).alias("warnings"))
+
+
+def least_certainty(results: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Each run's certainty: the least of its results in every dimension."""
+    return results.groupBy("run_id").agg(*[F.min(d).alias(d) for d in dimensions])
 
 
 def dependency_summary(evidence: DataFrame, family: str) -> DataFrame:
@@ -46,31 +78,54 @@ def dependency_summary(evidence: DataFrame, family: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    """The last row of each key over both."""
-    last = Window.partitionBy(*key).orderBy(F.desc(ordinal))
-    return old.unionByName(new).withColumn("n_", F.row_number().over(last)).filter("n_ = 1").drop("n_")
+    """The last row of each key over both, by an aggregate that starts map-side."""
+    return _one(old.unionByName(new), key, F.max_by, ordinal)
 
 
 def first_wins(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    first = Window.partitionBy(*key).orderBy(ordinal)
-    return rows.withColumn("n_", F.row_number().over(first)).filter("n_ = 1").drop("n_")
+    return _one(rows, key, F.min_by, ordinal)
+
+
+def _one(rows: DataFrame, key: list[str], pick, ordinal: str) -> DataFrame:
+    got = rows.groupBy(*key).agg(pick(F.struct(*[c for c in rows.columns if c not in key]), F.col(ordinal)).alias("row_"))
+    return got.select(*key, "row_.*").select(*rows.columns)
+
+
+GENESIS = "0" * 64
+
 
+def canonical_entry(sequence: Column, timestamp: Column, event: Column, payload: Column, previous: Column) -> Column:
+    """The canonical JSON that an entry's hash covers: keys sorted, no blanks. `payload` is canonical JSON itself."""
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    return F.concat(F.lit('{"event_type":'), text(event), F.lit(',"payload":'), payload, F.lit(',"previous_hash":'), text(previous), F.lit(',"sequence":'), sequence.cast("string"), F.lit(',"timestamp":'), text(timestamp), F.lit("}"))
 
-def transition(state: DataFrame, patches: DataFrame) -> DataFrame:
-    """(id, level) and (id, level, human): an authority level rises one step at a time, and only by a person at the top."""
-    p = patches.select("id", F.col("level").alias("asked"), "human")
-    both = state.join(p, "id", "full").withColumn("held", F.coalesce("level", F.lit(0)))
-    reason = F.when(F.col("asked").isNull(), "NO_PATCH").when(F.col("asked") > F.col("held") + 1, "SKIPS_A_LEVEL").when((F.col("asked") >= 3) & ~F.col("human"), "HUMAN_REQUIRED").otherwise("OK")
-    return both.select("id", F.col("held").alias("before"), F.when(reason == "OK", F.col("asked")).otherwise(F.col("held")).alias("after"), reason.alias("reason"))
 
+def append(entries: DataFrame, journal: str) -> DataFrame:
+    """(journal, ordinal, timestamp, event_type, payload) to entries with sequence, previous_hash and entry_hash.
 
-def chain(journal: DataFrame, group: str, order: str, payload: str) -> DataFrame:
-    """Each entry's hash covers the entry before it: the linkage that a verifier recomputes."""
-    w = Window.partitionBy(group).orderBy(order)
-    own = F.sha2(F.concat_ws("|", F.col(group).cast("string"), F.col(order).cast("string"), F.coalesce(payload, F.lit(""))), 256)
-    linked = journal.withColumn("own", own).withColumn("previous", F.coalesce(F.lag("own").over(w), F.lit("GENESIS")))
-    ok = (F.row_number().over(w) == 1) | (F.col(order) > F.lag(order).over(w))
-    return linked.select(group, order, "previous", F.sha2(F.concat_ws("|", "previous", "own"), 256).alias("entry_hash"), ok.alias("in_order"))
+    Each entry's hash covers the one before it, so a journal is folded in its order; journals are
+    independent of each other.
+    """
+    held = entries.groupBy(journal).agg(F.sort_array(F.collect_list(F.struct("ordinal", "timestamp", "event_type", "payload"))).alias("e"))
+    kind = "array<struct<sequence:int,timestamp:string,event_type:string,payload:string,previous_hash:string,entry_hash:string>>"
+
+    def add(done: Column, e: Column) -> Column:
+        previous = F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit(GENESIS))
+        sequence = F.size(done) + 1
+        own = F.sha2(canonical_entry(sequence, e["timestamp"], e["event_type"], e["payload"], previous), 256)
+        return F.concat(done, F.array(F.struct(sequence.alias("sequence"), e["timestamp"].alias("timestamp"), e["event_type"].alias("event_type"), e["payload"].alias("payload"), previous.alias("previous_hash"), own.alias("entry_hash"))))
+
+    return held.select(journal, F.explode(F.aggregate("e", F.array().cast(kind), add)).alias("x")).select(journal, "x.*")
+
+
+def verify(entries: DataFrame, journal: str) -> DataFrame:
+    """(journal, entries, verified, first_bad): every entry's place, link and hash are recomputed from what is stored."""
+    w = Window.partitionBy(journal).orderBy("sequence")
+    linked = F.col("previous_hash") == F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))
+    own = F.sha2(canonical_entry(F.col("sequence"), F.col("timestamp"), F.col("event_type"), F.col("payload"), F.col("previous_hash")), 256)
+    bad = ~((F.col("sequence") == F.row_number().over(w)) & linked & (own == F.col("entry_hash")))
+    checked = entries.select(journal, "sequence", F.coalesce(bad, F.lit(True)).alias("bad"))
+    return checked.groupBy(journal).agg(F.count("*").alias("entries"), (~F.bool_or("bad")).alias("verified"), F.min(F.when(F.col("bad"), F.col("sequence"))).alias("first_bad"))
 
 
 def drift(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,10 +140,3 @@ def search_status(searches: DataFrame) -> DataFrame:
     got = searches.groupBy("lane").agg(F.count("*").alias("attempted"), F.sum(F.col("errored").cast("long")).alias("errors"), F.sum("returned").alias("returned"))
     status = F.when(F.col("attempted") == 0, "NOT_ATTEMPTED").when(F.col("errors") == F.col("attempted"), "UNSEARCHED_ERROR").when(F.col("errors") > 0, "PARTIAL").otherwise("COMPLETE")
     return got.select("lane", "attempted", "errors", "returned", status.alias("status"))
-
-
-def feasibility(needs: DataFrame, streams: DataFrame) -> DataFrame:
-    """(proposition, family, stream) and (stream, access): reachable only if every needed stream is; an unknown stream blocks."""
-    got = needs.join(F.broadcast(streams), "stream", "left").groupBy("proposition", "family").agg(F.count("*").alias("streams"), F.sum(F.col("access").isNull().cast("long")).alias("unknown"), F.sum((F.coalesce("access", F.lit("")) != "OPEN").cast("long")).alias("blocked"), F.max((F.col("access") == "PRIMARY").cast("int")).alias("primary"))
-    reach = F.when(F.col("unknown") > 0, "UNKNOWN_STREAM").when(F.col("blocked") == 0, "OPEN_TESTABLE").when(F.col("primary") == 1, "NEEDS_PRIMARY_COLLECTION").otherwise("NEEDS_RESTRICTED_ACCESS")
-    return got.select("proposition", "family", "streams", reach.alias("reachability"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import linkage, series
 from .registry import DAILY, PANEL, SUPPLIERS, daily_events, provider_panel, query, supplier_stats, t
 
@@ -12,7 +11,7 @@ MONTH = "CAST(date_trunc('month', {}) AS DATE)"
 
 
 @query(f"""WITH c AS (SELECT l_suppkey AS provider, {MONTH.format('l_shipdate')} AS period, sum(CAST(round(l_quantity) AS BIGINT)) AS whole, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(round(l_quantity) AS BIGINT) END) AS urgent FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
-SELECT provider, count(*) AS months, round(sum(urgent)::DOUBLE / sum(whole), 6) AS intensity FROM c WHERE urgent IS NOT NULL AND whole IS NOT NULL GROUP BY 1 HAVING count(*) >= 12""")
+SELECT provider, count(*) AS months, round(sum(urgent)::DOUBLE / sum(whole), 6) AS intensity FROM c WHERE urgent IS NOT NULL AND whole > 0 GROUP BY 1 HAVING count(*) >= 12""")
 def intensity_index(spark, sf_dir):
     units = F.round("l_quantity").cast("long")
     both = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -81,12 +80,6 @@ def harvest_upper_median(spark, sf_dir):
     return series.upper_median(found, "lane", "found")
 
 
-@query("""SELECT o_custkey AS orientation, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, CASE WHEN count(*) >= 5 THEN round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 6) END AS rate FROM orders GROUP BY 1""")
-def kernel_metrics(spark, sf_dir):
-    rows = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("orientation"), (F.col("o_orderstatus") == "F").alias("published"))
-    return series.rates(rows, "orientation", "published")
-
-
 LINKS = """pubs AS (SELECT doc_id AS pub_id, DATE '2015-01-01' + (doc_id % 1500)::INT AS published_on, 'NCT' || lpad((doc_id % 400)::VARCHAR, 8, '0') AS reg_id FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL),
 regs AS (SELECT 'NCT' || lpad(c_custkey::VARCHAR, 8, '0') AS reg_id, DATE '2014-01-01' + (c_custkey * 7 % 2000)::INT AS registered_on FROM customer),
 links AS (SELECT r.reg_id, count(DISTINCT pub_id) AS publications, min(published_on) AS first_published, date_diff('day', any_value(registered_on), min(published_on))::INT AS days,
@@ -121,32 +114,6 @@ def retraction_screen(spark, sf_dir):
     return linkage.screen_retractions(works, told.select(F.concat(F.lit("10.1000/d"), doc).alias("doi"), F.explode(kinds).alias("n")).select("doi", "n.*"))
 
 
-BODIES = """ent AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 4 = 0 THEN 'R' || (c_custkey % 400) END AS strong, 'body ' || (c_custkey % 50) AS name, c_nationkey AS place, c_custkey % 3 AS weak FROM customer),
-star AS (SELECT node AS a, min(node) OVER (PARTITION BY strong) AS b FROM ent WHERE strong IS NOT NULL UNION SELECT node, min(node) OVER (PARTITION BY name, place) FROM ent),
-e AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
-reach AS (SELECT node, node AS other FROM ent UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.other),
-roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1),
-big AS (SELECT node, root, count(*) OVER (PARTITION BY root) AS size FROM roots)"""
-
-
-def bodies(spark, sf_dir):
-    key = F.col("c_custkey")
-    name = T.normalise_name(F.concat(F.lit("Body "), (key % 50).cast("string"), F.lit(" Ltd")))
-    return t(spark, sf_dir, "customer").select(key.alias("node"), F.when(key % 4 == 0, F.concat(F.lit("R"), (key % 400).cast("string"))).alias("strong"), name.alias("name"), F.col("c_nationkey").cast("string").alias("jurisdiction"), (key % 3).alias("weak"))
-
-
-@query(f"WITH RECURSIVE {BODIES} SELECT root, node, size FROM big WHERE size > 1")
-def resolve_entities(spark, sf_dir):
-    return linkage.resolve(bodies(spark, sf_dir)).select("root", "node", "size")
-
-
-@query(f"""WITH RECURSIVE {BODIES}, m AS (SELECT root, size, strong, count(*) OVER (PARTITION BY root, weak) > 1 AS near FROM big JOIN ent USING (node) WHERE size > 1)
-SELECT root, max(size) AS size, CASE WHEN count(DISTINCT strong) = 1 AND count(strong) = count(*) THEN 'STRONG' WHEN bool_or(near) THEN 'CORROBORATED' ELSE 'NAME_ONLY' END AS tier FROM m GROUP BY 1""")
-def merge_tiers(spark, sf_dir):
-    rows = bodies(spark, sf_dir)
-    return linkage.tiers(linkage.resolve(rows), rows)
-
-
 @query("""WITH k AS (SELECT c_custkey % 140 AS k, count(*) AS n, count(*) FILTER (c_mktsegment = 'BUILDING') AS blank FROM customer GROUP BY 1)
 SELECT sum(n)::BIGINT AS n_rows, count(*) FILTER (n > 1) AS repeated_keys, sum(blank)::BIGINT AS blank_families, sum(n) = 150 AND count(*) FILTER (n > 1) = 0 AND sum(blank) = 0 AS complete FROM k""")
 def registry_summary(spark, sf_dir):

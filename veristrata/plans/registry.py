@@ -99,7 +99,7 @@ def series_guard(spark, sf_dir):
 
 @query(f"""WITH {PANEL}, s AS (SELECT provider AS name, arg_min(value, period) AS first, arg_max(value, period) AS last, min(value) AS least, max(value) AS greatest, max(year(period) * 12 + month(period)) - min(year(period) * 12 + month(period)) AS months FROM panel WHERE value IS NOT NULL GROUP BY 1)
 SELECT name, first, last, least, greatest, round(last / first, 6) AS ratio, round(CASE WHEN months > 0 THEN pow(last / first, 12.0::DOUBLE / months) - 1 END, 6) AS growth_per_year FROM s""")
-def index_not_trend(spark, sf_dir):
+def series_trend(spark, sf_dir):
     return panel.trend(provider_panel(spark, sf_dir).withColumnRenamed("provider", "name"))
 
 
@@ -111,7 +111,7 @@ def monthly_orders(spark, sf_dir):
     return m.select((F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("i"), "value")
 
 
-@query(f"""WITH {MONTHLY} SELECT i, slope_break FROM (SELECT i, round(regr_slope(value, i::DOUBLE) OVER a - regr_slope(value, i::DOUBLE) OVER b, 4) AS slope_break, count(*) OVER a AS na, count(*) OVER b AS nb FROM m
+@query(f"""WITH {MONTHLY} SELECT i, slope_break FROM (SELECT i, round(abs(regr_slope(value, i::DOUBLE) OVER a - regr_slope(value, i::DOUBLE) OVER b), 4) AS slope_break, count(*) OVER a AS na, count(*) OVER b AS nb FROM m
 WINDOW a AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), b AS (ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE na = 12 AND nb = 12""")
 def slope_break_by_month(spark, sf_dir):
     return panel.slope_breaks(monthly_orders(spark, sf_dir), 12)
@@ -203,15 +203,6 @@ def parse_periods(spark, sf_dir):
     return t(spark, sf_dir, "orders").select(y.alias("y"), F.to_date(F.trunc(d, "month")).alias("month"), N.financial_year(d).alias("fy"), N.month_ordinal(d).alias("ordinal"), N.period_basis(y.cast("string")).alias("basis"), N.span_years(label).alias("span")).distinct()
 
 
-@query("""WITH e AS (SELECT doc_id, text, source, lang FROM documents), f AS (SELECT doc_id, 'EV-' || upper(substr(sha256(source || '|' || doc_id), 1, 20)) AS evidence_id, sha256(text) AS content_sha256,
-(CASE WHEN length(text) < 200 THEN '|SHORT_CONTENT' ELSE '' END || CASE WHEN lang <> 'en' THEN '|LANGUAGE_UNREVIEWED' ELSE '' END || CASE WHEN source = 'src0' THEN '|SOURCE_RESTRICTED' ELSE '' END) AS x FROM e)
-SELECT doc_id, evidence_id, content_sha256, substr(x, 2) AS failures, x = '' AS admitted FROM f""")
-def evidence_admission(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    bad = synthesis.failures(("SHORT_CONTENT", F.length("text") < 200), ("LANGUAGE_UNREVIEWED", F.col("lang") != "en"), ("SOURCE_RESTRICTED", F.col("source") == "src0"))
-    return d.select("doc_id", T.evidence_id(F.col("source"), F.col("doc_id").cast("string")).alias("evidence_id"), F.sha2("text", 256).alias("content_sha256"), F.array_join(bad, "|").alias("failures"), (F.size(bad) == 0).alias("admitted"))
-
-
 CUE = ["the paper was retracted", "we replicated and reproduced it", "a risk of bias and confounding", "no significant and no evidence", "a common cause and a rival model", "none of these", "critique"]
 CUED = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CUE)) + " END"
 LANE_HITS = ", ".join("(" + " + ".join(f"regexp_matches(x, '(?i){c}')::INT" for c in cues) + f") AS h{i}" for i, (_, cues) in enumerate(T.LANE_CUES))
@@ -259,11 +250,6 @@ def dependency_summary(spark, sf_dir):
     return synthesis.dependency_summary(t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("k")), "k")
 
 
-@query("""WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS root FROM documents) SELECT doc_id AS node, root, count(*) OVER (PARTITION BY root) AS size FROM d""")
-def study_families(spark, sf_dir):
-    return graph.families(t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k")), "doc_id", ["k"])
-
-
 @query("""WITH d AS (SELECT count(*) AS size FROM documents GROUP BY text) SELECT size, count(*) AS families FROM d GROUP BY 1""")
 def family_sizes(spark, sf_dir):
     return t(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("k")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("families"))
@@ -282,9 +268,9 @@ WHERE l_quantity >= 49 AND l_discount < 0.02 AND o_orderdate < DATE '2000-01-01'
 RELATIONS_WHOLE = """WITH r AS (SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < DATE '2000-01-01')"""
 
 
-def relations(spark, sf_dir, kept="l_quantity >= 49 AND l_discount < 0.02"):
+def relations(spark, sf_dir, kept="l_quantity >= 49 AND l_discount < 0.02", *more):
     e = t(spark, sf_dir, "lineitem").filter(kept).join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return e.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("family"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.to_date("o_orderdate").alias("valid_from"))
+    return e.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("b"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("family"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.to_date("o_orderdate").alias("valid_from"), *more)
 
 
 def domains(spark, sf_dir):
@@ -294,85 +280,18 @@ def domains(spark, sf_dir):
     return c.union(s)
 
 
-COUPLING = f"""{RELATIONS.replace("SELECT DISTINCT", "SELECT")}, k AS (SELECT a, b, arg_max(kind, ordinal) AS kind FROM r GROUP BY 1, 2),
-e AS (SELECT a AS x, b AS y FROM k UNION SELECT b, a FROM k),
-reach AS (SELECT DISTINCT x AS node, x AS other FROM e UNION SELECT reach.node, e.y FROM reach JOIN e ON e.x = reach.other),
-roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1),
-dom AS (SELECT 'C' || c_custkey AS node, n_regionkey AS d FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'S' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-n AS (SELECT root, count(*) AS nodes, count(DISTINCT d) AS domains FROM roots LEFT JOIN dom USING (node) GROUP BY 1),
-g AS (SELECT root, count(*) AS edges, count(DISTINCT kind) AS kinds FROM k JOIN roots ON k.a = node GROUP BY 1),
-f AS (SELECT root, count(DISTINCT family) AS families FROM r JOIN roots ON r.a = node GROUP BY 1),
-c AS (SELECT root, nodes, edges, domains, kinds, families, CASE WHEN domains >= 2 AND kinds >= 2 AND families >= 2 THEN 'COUPLED' WHEN families < 2 THEN 'INSUFFICIENT_INDEPENDENT_SOURCES' ELSE 'ISOLATED' END AS verdict FROM n JOIN g USING (root) JOIN f USING (root))"""
-
-
-@query(f"WITH RECURSIVE {COUPLING} SELECT * FROM c")
-def coupling_verdict(spark, sf_dir):
-    return graph.coupling(relations(spark, sf_dir), domains(spark, sf_dir), "2000-01-01")
-
-
-@query(f"WITH RECURSIVE {COUPLING} SELECT * FROM c ORDER BY nodes DESC, root LIMIT 5")
-def components_topk(spark, sf_dir):
-    return graph.top_components(coupling_verdict(spark, sf_dir))
-
-
 @query(f"WITH {RELATIONS} SELECT a AS person, count(DISTINCT b) AS bodies FROM r GROUP BY 1 HAVING count(DISTINCT b) >= 2")
 def bridges(spark, sf_dir):
     r = relations(spark, sf_dir).filter("valid_from < '2000-01-01'")
     return graph.bridges(r.select(F.col("a").alias("person"), F.col("b").alias("body")))
 
 
-# Over every relation; a recursive query that lists all pairs of nodes is too slow for these, so tests hold them against brute force.
-
-
-@query(None)
-def coupling_verdict_whole(spark, sf_dir):
-    return graph.coupling(relations(spark, sf_dir, "true"), domains(spark, sf_dir), "2000-01-01")
-
-
-@query(None)
-def components_topk_whole(spark, sf_dir):
-    return graph.top_components(coupling_verdict_whole(spark, sf_dir))
-
-
 @query(RELATIONS_WHOLE + " SELECT a AS person, count(DISTINCT b) AS bodies FROM r GROUP BY 1 HAVING count(DISTINCT b) >= 2")
 def bridges_whole(spark, sf_dir):
     r = relations(spark, sf_dir, "true").filter("valid_from < '2000-01-01'")
     return graph.bridges(r.select(F.col("a").alias("person"), F.col("b").alias("body")))
 
 
-RESULTS = "res AS (SELECT o_orderkey AS result_id, o_custkey || '/' || o_orderpriority AS scope, CASE o_orderstatus WHEN 'F' THEN 'SUPPORTS' WHEN 'O' THEN 'WEAKENS' ELSE 'INCONCLUSIVE' END AS direction FROM orders)"
-
-
-@query(f"""WITH {RESULTS} SELECT x.result_id, y.result_id AS other_id, x.scope FROM res x JOIN res y ON x.scope = y.scope AND x.result_id < y.result_id AND ((x.direction = 'SUPPORTS' AND y.direction = 'WEAKENS') OR (x.direction = 'WEAKENS' AND y.direction = 'SUPPORTS'))""")
-def contradictions(spark, sf_dir):
-    direction = F.when(F.col("o_orderstatus") == "F", "SUPPORTS").when(F.col("o_orderstatus") == "O", "WEAKENS").otherwise("INCONCLUSIVE")
-    return synthesis.contradictions(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result_id"), F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("scope"), direction.alias("direction")))
-
-
-@query("""WITH c AS (SELECT o_orderpriority AS model, o_custkey % 40 AS family, (o_orderkey % 201 - 100) / 100.0::DOUBLE AS impact, 0.5::DOUBLE + (o_orderkey % 3) * 0.25::DOUBLE AS weight, o_orderkey AS ordinal FROM orders),
-f AS (SELECT *, row_number() OVER (PARTITION BY model, family ORDER BY abs(impact * weight) DESC, ordinal) AS k FROM c),
-i AS (SELECT model, count(*) AS families, round(sum(impact * weight) / sum(weight), 6) AS index FROM f WHERE k = 1 GROUP BY 1) SELECT *, index >= max(index) OVER () - 0.05::DOUBLE AS leading FROM i""")
-def comparative_synthesis(spark, sf_dir):
-    o = t(spark, sf_dir, "orders")
-    return synthesis.indices(o.select(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 40).alias("family"), ((F.col("o_orderkey") % 201 - 100) / 100).alias("impact"), (0.5 + (F.col("o_orderkey") % 3) * 0.25).alias("weight"), F.col("o_orderkey").alias("ordinal")))
-
-
-@query("""WITH v AS (SELECT p_partkey, (40 + p_partkey % 60) / 100.0::DOUBLE AS least, (40 + p_size) / 100.0::DOUBLE AS causal, (45 + p_size) / 100.0::DOUBLE AS temporal, p_partkey % 3 > 0 AS asked FROM part)
-SELECT p_partkey, CASE WHEN asked AND least >= 0.8 AND causal >= 0.75 AND temporal >= 0.75 THEN 'HIGH' WHEN asked AND least >= 0.7 AND causal >= 0.7 AND temporal >= 0.7 THEN 'MODERATE' WHEN asked AND least >= 0.6 AND causal >= 0.5 THEN 'LIMITED' WHEN least >= 0.4 THEN 'ASSOCIATION_ONLY' ELSE 'DESCRIPTIVE_ONLY' END AS tier FROM v""")
-def claim_tiers(spark, sf_dir):
-    size = F.col("p_size")
-    return t(spark, sf_dir, "part").select("p_partkey", synthesis.claim_tier((40 + F.col("p_partkey") % 60) / 100, (40 + size) / 100, (45 + size) / 100, F.col("p_partkey") % 3 > 0).alias("tier"))
-
-
-@query("""WITH n AS (SELECT n_nationkey AS proposition, n_regionkey AS family, unnest([n_nationkey % 4, n_nationkey % 5]) AS stream FROM nation), s AS (SELECT * FROM (VALUES (0, 'OPEN'), (1, 'OPEN'), (2, 'PRIMARY'), (3, 'RESTRICTED')) v(stream, access)),
-g AS (SELECT proposition, family, count(*) AS streams, count(*) FILTER (access IS NULL) AS unknown, count(*) FILTER (coalesce(access, '') <> 'OPEN') AS blocked, bool_or(access = 'PRIMARY') AS prim FROM n LEFT JOIN s USING (stream) GROUP BY 1, 2)
-SELECT proposition, family, streams, CASE WHEN unknown > 0 THEN 'UNKNOWN_STREAM' WHEN blocked = 0 THEN 'OPEN_TESTABLE' WHEN prim THEN 'NEEDS_PRIMARY_COLLECTION' ELSE 'NEEDS_RESTRICTED_ACCESS' END AS reachability FROM g""")
-def feasibility_census(spark, sf_dir):
-    key = F.col("n_nationkey")
-    needs = t(spark, sf_dir, "nation").select(key.alias("proposition"), F.col("n_regionkey").alias("family"), F.explode(F.array(key % 4, key % 5)).alias("stream"))
-    return synthesis.feasibility(needs, spark.createDataFrame([(0, "OPEN"), (1, "OPEN"), (2, "PRIMARY"), (3, "RESTRICTED")], "stream long, access string"))
-
-
 @query("""WITH s AS (SELECT event_type AS lane, CAST(ts AS DATE) AS term, count(*) AS returned, (day(CAST(ts AS DATE)) % 5 = 0 AND event_type = 'click') AS errored FROM events GROUP BY 1, 2)
 SELECT lane, count(*) AS attempted, sum(errored::INT)::BIGINT AS errors, sum(returned)::BIGINT AS returned, CASE WHEN sum(errored::INT) = count(*) THEN 'UNSEARCHED_ERROR' WHEN sum(errored::INT) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM s GROUP BY 1""")
 def lane_search_status(spark, sf_dir):
@@ -381,14 +300,6 @@ def lane_search_status(spark, sf_dir):
     return synthesis.search_status(e.withColumn("errored", (F.day("term") % 5 == 0) & (F.col("lane") == "click")))
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, (c_custkey % 3)::INT AS level FROM customer WHERE c_custkey % 5 > 0), p AS (SELECT c_custkey AS id, (c_custkey % 4)::INT AS asked, c_custkey % 2 = 0 AS human FROM customer WHERE c_custkey % 3 > 0),
-b AS (SELECT id, coalesce(level, 0) AS held, asked, human FROM s FULL JOIN p USING (id)), r AS (SELECT *, CASE WHEN asked IS NULL THEN 'NO_PATCH' WHEN asked > held + 1 THEN 'SKIPS_A_LEVEL' WHEN asked >= 3 AND NOT human THEN 'HUMAN_REQUIRED' ELSE 'OK' END AS reason FROM b)
-SELECT id, held AS before, CASE WHEN reason = 'OK' THEN asked ELSE held END AS after, reason FROM r""")
-def authority_lattice(spark, sf_dir):
-    c, k = t(spark, sf_dir, "customer"), F.col("c_custkey")
-    return synthesis.transition(c.filter(k % 5 > 0).select(k.alias("id"), (k % 3).cast("int").alias("level")), c.filter(k % 3 > 0).select(k.alias("id"), (k % 4).cast("int").alias("level"), (k % 2 == 0).alias("human")))
-
-
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1""")
 def upsert_last_wins(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
@@ -400,12 +311,6 @@ def dedup_first_wins(spark, sf_dir):
     return synthesis.first_wins(t(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query("""WITH o AS (SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || coalesce(text, '')) AS own FROM conversations), p AS (SELECT *, coalesce(lag(own) OVER w, 'GENESIS') AS previous, coalesce(turn > lag(turn) OVER w, true) AS in_order FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, previous, sha256(previous || '|' || own) AS entry_hash, in_order FROM p""")
-def journal_chain_verify(spark, sf_dir):
-    return synthesis.chain(t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
-
-
 @query("""SELECT n_name AS path, CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END AS old, CASE WHEN n_nationkey % 7 > 0 THEN (n_regionkey + (n_nationkey % 3 = 0)::INT)::VARCHAR END AS new,
 CASE WHEN n_nationkey % 5 = 0 THEN 'ADDED' WHEN n_nationkey % 7 = 0 THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM nation WHERE (n_nationkey % 5 > 0 OR n_nationkey % 7 > 0) AND (n_nationkey % 5 = 0 OR n_nationkey % 7 = 0 OR n_nationkey % 3 = 0)""")
 def spec_drift(spark, sf_dir):
@@ -413,7 +318,7 @@ def spec_drift(spark, sf_dir):
     return synthesis.drift(n.filter(k % 5 > 0).select(F.col("n_name").alias("path"), F.col("n_regionkey").cast("string").alias("value")), n.filter(k % 7 > 0).select(F.col("n_name").alias("path"), (F.col("n_regionkey") + (k % 3 == 0).cast("int")).cast("string").alias("value")))
 
 
-@query("""SELECT p_partkey, ceil(1.959964 * 1.959964 * (p_size / 100.0::DOUBLE) * (1 - p_size / 100.0::DOUBLE) / (0.05::DOUBLE * 0.05::DOUBLE))::BIGINT AS n_proportion, ceil(2 * pow(1.959964::DOUBLE + 0.841621::DOUBLE, 2) / pow(p_size / 20.0::DOUBLE, 2))::BIGINT AS n_per_arm, round(1 + (p_size - 1) * 0.05::DOUBLE, 6) AS design_effect,
+@query("""SELECT p_partkey, ceil(1.96::DOUBLE * 1.96::DOUBLE * (p_size / 100.0::DOUBLE) * (1 - p_size / 100.0::DOUBLE) / (0.05::DOUBLE * 0.05::DOUBLE))::BIGINT AS n_proportion, ceil(2 * pow(1.96::DOUBLE + 0.84::DOUBLE, 2) / pow(p_size / 20.0::DOUBLE, 2))::BIGINT AS n_per_arm, round(1 + (p_size - 1) * 0.05::DOUBLE, 6) AS design_effect,
 CASE WHEN p_size >= 10 THEN round((exp(2 * 2.801585::DOUBLE / sqrt(p_size - 3)) - 1) / (exp(2 * 2.801585::DOUBLE / sqrt(p_size - 3)) + 1), 6) END AS detectable_r, round(p_size / 10.0::DOUBLE + 0, 6) AS ratio FROM part""")
 def attainable_envelope(spark, sf_dir):
     s = F.col("p_size")
