@@ -7,10 +7,12 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import design as X
 from ..functions import identifiers as I
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import governance as G
+from ..operators import panel as P
 from .cases import cases
 
 c = F.col
@@ -566,3 +568,48 @@ STATE = "unresolved_issue_ids:array<string>,contradiction_ids:array<string>,reje
 )
 def handoffs():
     return [joined(G.handoff_failures(c("s"), c("h")))]
+
+
+# ------------------------------------------------------------------ designs
+
+
+@cases(
+    "n int, parameters int, events int, deff double, attrition double, rate double, ratio double, bound double",
+    [
+        ((300, 5, None, 2.0, 0.0, 0.1, 2.0, 1.5), (150.0, None, "DESCRIPTIVE_EVIDENCE_ONLY", "VERY_LIMITED_EFFECTIVE_SAMPLE|CLAIM_TIER_IS_PLANNING_CEILING_NOT_CAUSAL_VALIDATION", None, 3.414213562, 2.366025404, "ROBUST")),
+        ((2000, 5, 40, 1.0, 0.0, 0.1, 0.5, 1.2), (2000.0, 8.0, "ASSOCIATION_ONLY", "RARE_EVENT_INFORMATION_LIMIT|CLAIM_TIER_IS_PLANNING_CEILING_NOT_CAUSAL_VALIDATION", 400, 3.414213562, 1.0, "ROBUST")),
+        ((1000, 5, 100, 1.0, 0.5, 0.3, 1.1, None), (500.0, 20.0, "ASSOCIATION_ONLY", "SUBGROUP_AND_INTERACTION_LIMIT|CLAIM_TIER_IS_PLANNING_CEILING_NOT_CAUSAL_VALIDATION", 334, 1.431662479, None, "FRAGILE")),
+        ((4000, 20, 100, 2.0, 0.0, 1.5, 1.25, 1.0), (2000.0, 5.0, "ASSOCIATION_ONLY", "MODEL_PARAMETER_INFORMATION_LIMIT|CLAIM_TIER_IS_PLANNING_CEILING_NOT_CAUSAL_VALIDATION", None, 1.809016994, 1.0, "MODERATE")),
+        ((4000, 5, None, 2.0, 0.25, 0.0, 1.0, 0.8), (1500.0, None, "LIMITED_CAUSAL_EVIDENCE", "CLAIM_TIER_IS_PLANNING_CEILING_NOT_CAUSAL_VALIDATION", None, 1.0, 1.809016994, "FRAGILE")),
+    ],
+    "effective double, each double, tier string, warnings string, population long, e_value double, at_limit double, reading string",
+)
+def design_envelopes():
+    e, s = X.envelope(c("n"), c("parameters"), c("events"), c("deff"), c("attrition")), X.sensitivity(c("ratio"), c("bound"))
+    return [e["effective_n"], e["events_per_parameter"], e["tier"], joined(e["warnings"]), X.source_population(c("events"), c("rate")), F.round(s["e_value"], 9), F.round(s["limit"], 9), s["reading"]]
+
+
+@cases(
+    "grid int, accepted int, tolerance double, series array<double>, power double",
+    [
+        ((10, 0, 0.1, [0.0, 1.0, 0.0, 1.0], 0.9), (0.737, "HIGH", "WEAKENS", "NOT_APPLICABLE_REFUTED", "")),
+        ((10, 1, 0.1, [0.0, 1.0, 0.0, 1.0], 0.7), (0.711, "HIGH", "INCONCLUSIVE", "CORROBORATED_AT_HIGH_SEVERITY", "UNDERPOWERED_A_NULL_HERE_IS_NOT_EVIDENCE_OF_ABSENCE")),
+        ((10, 9, 0.1, [0.0, 1.0, 0.0, 1.0], 0.9), (0.342, "LOW", "INCONCLUSIVE", "COMPATIBLE_ONLY", "")),
+        ((10, 10, 0.1, [0.0, 1.0, 0.0, 1.0], 0.9), (0.0, "NEGLIGIBLE", "INCONCLUSIVE", "NO_CORROBORATION_TEST_NOT_SEVERE", "")),
+        ((0, 0, 0.1, [2.0, 2.0, 2.0], 0.9), (0.0, "NEGLIGIBLE", "WEAKENS", "NOT_APPLICABLE_REFUTED", "")),
+    ],
+    "severity double, band string, direction string, corroboration string, warnings string",
+)
+def calibration_severity():
+    s = X.severity(c("grid"), c("accepted"), c("tolerance"), c("series"))
+    k = X.corroboration(c("accepted"), s["band"])
+    return [F.round(s["index"], 3), s["band"], k["direction"], k["corroboration"], joined(X.power_warnings(F.lit(500), c("power"), F.lit(1.0)))]
+
+
+@cases(
+    "level double, slope double, i int, complete boolean, pooled boolean, points int",
+    [((100.0, 0.1, 0, True, False, 3), (100.0, 100.0, True)), ((100.0, 0.1, 2, True, True, 3), (108.414709848, 121.0, False)), ((100.0, 0.0, 5, None, False, 3), (100.0, 100.0, False)), ((50.0, -0.5, 1, True, False, 2), (38.014361535, 25.0, False))],
+    "covered double, grown double, usable boolean",
+)
+def mechanism_series():
+    return [F.round(X.coverage_mechanism(c("level"), c("slope"), c("i")), 9), F.round(X.growth_mechanism(c("level"), c("slope"), c("i")), 9), P.usable(c("complete"), c("pooled"), c("points"))]
