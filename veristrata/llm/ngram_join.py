@@ -218,3 +218,18 @@ def _signatures(group: pa.Table, bands: int) -> np.ndarray:
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs."""
     return linked(docs).filter("link_.kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+#: The same in DuckDB, by all pairs of documents that share an n-gram; doc_ids must differ.
+JOIN_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM docs),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS both_have FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes sx ON sx.r = x JOIN sizes sy ON sy.r = y WHERE both_have * 5 >= (sx.n + sy.n - both_have) * 4),
+reached(r, least) USING KEY (r) AS (
+  SELECT r, doc_id FROM docs
+  UNION SELECT links.y, min(reached.least) FROM reached JOIN links ON links.x = reached.r JOIN recurring.reached AS held ON held.r = links.y WHERE reached.least < held.least GROUP BY links.y),
+counts AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, least AS class_id, coalesce(n, 0)::BIGINT AS n_links, doc_id IS NOT DISTINCT FROM least AS kept FROM docs JOIN reached USING (r) LEFT JOIN counts USING (r)
+"""

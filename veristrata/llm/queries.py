@@ -84,4 +84,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.MIX_SQL,
         "op3_quality_rules": quality_rules.RULES_SQL,
+        "op9_embedding_neardup": vector_dedup.LINK_SQL,
+        "op10_ngram_jaccard": ngram_join.JOIN_SQL,
     }

@@ -218,3 +218,16 @@ def _links_of(reps: DataFrame, dim: int, total: int, threshold: float, sample: i
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(nodes[local_roots(a, b, len(nodes))])], ["node", "links", "root"])
 
     return grouped(both, ["label", "cell", "b", "q"], search, "node bigint, links bigint, root bigint")
+
+
+#: The same in DuckDB, by all pairs of a label.
+LINK_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}::DOUBLE),
+reached(r, least) USING KEY (r) AS (
+  SELECT r, vec_id FROM v
+  UNION SELECT links.y, min(reached.least) FROM reached JOIN links ON links.x = reached.r JOIN recurring.reached AS held ON held.r = links.y WHERE reached.least < held.least GROUP BY links.y),
+counts AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least AS component_id, vec_id IS NOT DISTINCT FROM least AS kept FROM v JOIN reached USING (r) LEFT JOIN counts USING (r)
+"""
