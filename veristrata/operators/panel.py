@@ -79,9 +79,13 @@ def share_median(panel: DataFrame, parent: DataFrame, min_months: int) -> DataFr
 
 
 def tertiles(sizes: DataFrame) -> DataFrame:
-    """(key, size): thirds by size, the first two of n // 3, the rest in the last."""
-    ranked = sizes.withColumn("i", F.row_number().over(Window.orderBy("size", "key")) - 1).withColumn("third", F.floor(F.count("*").over(Window.partitionBy()) / 3))
-    return ranked.select("key", "size", F.least(F.lit(2), F.when(F.col("third") > 0, F.floor(F.col("i") / F.col("third"))).otherwise(2)).cast("int").alias("tertile"))
+    """(key, size): thirds by size and key, the first two of n // 3, the rest in the last."""
+    from .stats import ranked
+
+    placed = ranked(sizes.withColumn("both_", F.struct("size", "key")), "both_", "place_").drop("both_")
+    third = sizes.agg(F.floor(F.count("*") / 3).alias("third_"))  # one row
+    i = F.col("place_") - 1
+    return placed.join(F.broadcast(third)).select("key", "size", F.least(F.lit(2), F.when(F.col("third_") > 0, F.floor(i / F.col("third_"))).otherwise(2)).cast("int").alias("tertile"))
 
 
 def slope_breaks(series: DataFrame, k: int) -> DataFrame:

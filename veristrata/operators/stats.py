@@ -9,11 +9,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank with ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+
+def ranked(rows: DataFrame, value: str, into: str, ties: str | None = None) -> DataFrame:
+    """rows with the rank of a value, ties sharing their mean, and with `ties` how many have it; null has none.
+
+    The distinct values are dealt to tasks by range; a rank is its place there after all that the
+    tasks before hold, so no task sees all rows. Only a row for each task is summed in one place.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value_")).agg(F.count("*").alias("n_"))
+    dealt = staged(counts.repartitionByRange("value_").withColumn("part_", F.spark_partition_id()))
+    whole = dealt.groupBy("part_").agg(F.sum("n_").alias("all_"))
+    before = whole.select("part_", (F.sum("all_").over(Window.orderBy("part_")) - F.col("all_")).alias("before_"))
+    upto = F.sum("n_").over(Window.partitionBy("part_").orderBy("value_"))
+    placed = dealt.withColumn("upto_", upto).join(F.broadcast(before), "part_")  # a row for each task
+    found = placed.select("value_", (F.col("before_") + F.col("upto_") - (F.col("n_") - 1) / 2).alias(into), *([F.col("n_").alias(ties)] if ties else []))
+    return rows.join(found, F.col(value) == F.col("value_"), "left").drop("value_")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -25,7 +37,9 @@ def pearson(x: str, y: str) -> Column:
 
 def rank_correlations(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """Spearman of x and y, and the partial one given z."""
-    r = rows.select(*[average_rank(c).alias(c) for c in (x, y, z)])
+    r = rows.select(x, y, z)
+    for c in (x, y, z):
+        r = ranked(r, c, "rank_").drop(c).withColumnRenamed("rank_", c)
     got = r.agg(F.count("*").alias("n"), pearson(x, y).alias("xy"), pearson(x, z).alias("xz"), pearson(y, z).alias("yz"))
     below = F.sqrt(F.greatest((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2), F.lit(0.0)))
     return got.select("n", F.round("xy", 6).alias("spearman"), F.round(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), below), 6).alias("partial"))
@@ -33,8 +47,7 @@ def rank_correlations(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
     """U of the first group (group = 1) and z with tie correction, without continuity correction."""
-    ranked = rows.select(F.col(group).alias("g"), average_rank(value).alias("r"), F.count("*").over(Window.partitionBy(value)).alias("t"))
-    s = ranked.agg(F.sum(F.when(F.col("g") == 1, F.col("r"))).alias("r1"), F.sum((F.col("g") == 1).cast("double")).alias("n1"), F.sum((F.col("g") != 1).cast("double")).alias("n2"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
+    s = ranked(rows.select(F.col(group).alias("g"), F.col(value).alias("v")), "v", "r", "t").agg(F.sum(F.when(F.col("g") == 1, F.col("r"))).alias("r1"), F.sum((F.col("g") == 1).cast("double")).alias("n1"), F.sum((F.col("g") != 1).cast("double")).alias("n2"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     variance = F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
@@ -80,8 +93,8 @@ def permutation_p(rows: DataFrame, x: str, y: str, draws: int, seed: int, at_onc
     on the tasks. Each task gets both rank columns.
     """
     spark = rows.sparkSession
-    ranked = rows.select(x, y).dropna().select(average_rank(x).alias("x"), average_rank(y).alias("y"))
-    got = ranked.orderBy("x", "y").toArrow()
+    both = ranked(ranked(rows.select(F.col(x).alias("a"), F.col(y).alias("b")).dropna(), "a", "x"), "b", "y")
+    got = both.select("x", "y").orderBy("x", "y").toArrow()
     a, b = (got[c].to_numpy().astype(float) for c in ("x", "y"))
     n = len(a)
     a, b = a - (n + 1) / 2, b - (n + 1) / 2
