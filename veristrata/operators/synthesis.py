@@ -133,10 +133,3 @@ def drift(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("path", F.col("value").alias("old")).join(b.select("path", F.col("value").alias("new")), "path", "full")
     change = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").when(F.col("old") != F.col("new"), "CHANGED")
     return both.select("path", "old", "new", change.alias("change")).filter("change is not null")
-
-
-def search_status(searches: DataFrame) -> DataFrame:
-    """(lane, term, returned, errored): whether a lane counts as searched."""
-    got = searches.groupBy("lane").agg(F.count("*").alias("attempted"), F.sum(F.col("errored").cast("long")).alias("errors"), F.sum("returned").alias("returned"))
-    status = F.when(F.col("attempted") == 0, "NOT_ATTEMPTED").when(F.col("errors") == F.col("attempted"), "UNSEARCHED_ERROR").when(F.col("errors") > 0, "PARTIAL").otherwise("COMPLETE")
-    return got.select("lane", "attempted", "errors", "returned", status.alias("status"))

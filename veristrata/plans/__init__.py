@@ -1,3 +1,3 @@
 """Queries over the driver's tables and their SQL; importing the package registers all of them."""
 
-from . import corpus, extended, landed, registry, rules  # noqa: F401
+from . import corpus, extended, landed, lookups, registry, rules  # noqa: F401

@@ -292,14 +292,6 @@ def bridges_whole(spark, sf_dir):
     return graph.bridges(r.select(F.col("a").alias("person"), F.col("b").alias("body")))
 
 
-@query("""WITH s AS (SELECT event_type AS lane, CAST(ts AS DATE) AS term, count(*) AS returned, (day(CAST(ts AS DATE)) % 5 = 0 AND event_type = 'click') AS errored FROM events GROUP BY 1, 2)
-SELECT lane, count(*) AS attempted, sum(errored::INT)::BIGINT AS errors, sum(returned)::BIGINT AS returned, CASE WHEN sum(errored::INT) = count(*) THEN 'UNSEARCHED_ERROR' WHEN sum(errored::INT) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM s GROUP BY 1""")
-def lane_search_status(spark, sf_dir):
-    day = F.to_date("ts")
-    e = t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("lane"), day.alias("term")).agg(F.count("*").alias("returned"))
-    return synthesis.search_status(e.withColumn("errored", (F.day("term") % 5 == 0) & (F.col("lane") == "click")))
-
-
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1""")
 def upsert_last_wins(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
