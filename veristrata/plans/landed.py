@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..operators import preregistration as V
 from ..sources import registers as R
 from ..sources import tables, works
 from .cases import cases
@@ -308,3 +309,59 @@ def directory_page(spark, sf_dir):
     k = c("s_suppkey")
     rows = t(spark, sf_dir, "supplier").select(k.alias("org_id"), F.concat(F.lit("Body "), (k % 10).cast("string")).alias("name"))
     return tables.organisations(rows, name="body 3", limit=5, offset=2)
+
+
+# ------------------------------------------------------------------ canonical JSON
+
+
+@cases(
+    "x string",
+    [
+        (('{"b": [2, 1], "a": {"d": 1.0, "c": "é"}}',), ('{"a":{"c":"\\u00e9","d":1.0},"b":[2,1]}', 'a.c="\\u00e9"|a.d=1.0|b=[2,1]')),
+        (("[]",), ("[]", "=[]")),
+        (('{"k": null}',), ('{"k":null}', "k=null")),
+        ((None,), (None, None)),
+    ],
+    "canonical string, flat string",
+)
+def canonical_payloads():
+    flat = V.flattened(c("x"))
+    return [V.canonical_json(c("x")), joined(F.transform(flat, lambda e: F.concat(e["path"], F.lit("="), e["value"])))]
+
+
+@cases(
+    "text string",
+    [(("It proves it.\n  Nothing unproved.\nTHIS PROVES more ",), ("line 1: It proves it.|line 3: THIS PROVES more",)), (("improves",), ("",))],
+    "context string",
+)
+def sentence_contexts():
+    return [joined(V.sentence_context(c("text"), "proves"))]
+
+
+SPECS = """s AS (SELECT n_nationkey AS k, '{"a":{"x":' || n_regionkey || ',"y":1},"id":"S' || n_nationkey || '"}' AS now, '{"a":{"x":' || CASE WHEN n_nationkey % 3 = 1 THEN n_regionkey + 1 ELSE n_regionkey END || CASE WHEN n_nationkey % 5 = 2 THEN '' ELSE ',"y":1' END || '},"id":"S' || n_nationkey || '"}' AS was, n_nationkey % 4 > 0 AS frozen FROM nation)"""
+
+
+def specifications(spark, sf_dir):
+    """Nations as specifications written with blanks and in another order; of four, one was never frozen."""
+    k, r = c("n_nationkey"), c("n_regionkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    rows = t(spark, sf_dir, "nation")
+    now = rows.select(text("S", k).alias("specification_id"), text('{"id": "S', k, '", "a": {"y": 1, "x": ', r, "}}").alias("payload"))
+    old = rows.filter(k % 4 > 0).select(text("S", k).alias("specification_id"), text('{"a": {"x": ', F.when(k % 3 == 1, r + 1).otherwise(r), F.when(k % 5 == 2, "").otherwise(', "y": 1'), '}, "id": "S', k, '"}').alias("payload"))
+    return now, V.freeze(old, F.lit("2020-06-01").cast("date"))
+
+
+@query(f"""WITH {SPECS} SELECT 'S' || k AS specification_id, p AS path, CASE p WHEN 'a.x' THEN (CASE WHEN k % 3 = 1 THEN x + 1 ELSE x END)::VARCHAR ELSE NULL END AS frozen_value, CASE p WHEN 'a.x' THEN x::VARCHAR ELSE '1' END AS current_value
+FROM (SELECT n_nationkey AS k, n_regionkey AS x, unnest(['a.x', 'a.y']) AS p FROM nation WHERE n_nationkey % 4 > 0) WHERE (p = 'a.x' AND k % 3 = 1) OR (p = 'a.y' AND k % 5 = 2)""")
+def specification_drift(spark, sf_dir):
+    now, frozen = specifications(spark, sf_dir)
+    return V.drift(now.join(frozen.select("specification_id"), "specification_id"), frozen)
+
+
+@query(f"""WITH {SPECS}, r AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT frozen THEN 'NO_PREREGISTRATION_FREEZE' END, CASE WHEN frozen AND now <> was THEN 'SPECIFICATION_DRIFT_AFTER_FREEZE' END, CASE WHEN frozen AND k % 2 = 0 THEN 'FREEZE_POSTDATES_DATA_RETRIEVAL' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s)
+SELECT 'S' || k AS specification_id, reasons = '' AS permitted, reasons FROM r""")
+def confirmatory_analyses(spark, sf_dir):
+    now, frozen = specifications(spark, sf_dir)
+    k = c("n_nationkey")
+    read = t(spark, sf_dir, "nation").select(F.concat(F.lit("S"), k.cast("string")).alias("specification_id"), F.explode(F.array(F.lit("2021-01-01").cast("date"), F.when(k % 2 == 0, F.lit("2020-01-01").cast("date")))).alias("retrieved_at"))
+    return V.confirmatory(now, frozen, read)
