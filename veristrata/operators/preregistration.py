@@ -60,8 +60,11 @@ def freeze(specifications: DataFrame, at: Column) -> DataFrame:
 
 
 def drift(current: DataFrame, frozen: DataFrame) -> DataFrame:
-    """(specification_id, payload) against frozen ones: each path whose value changed, with both values (null: not there)."""
-    now = current.select("specification_id", F.explode(flattened(F.col("payload"))).alias("n")).select("specification_id", "n.path", F.col("n.value").alias("current_value"))
+    """(specification_id, payload) against frozen ones: each path whose value changed, with both values (null: not there).
+
+    Only specifications that were frozen and are there now are compared.
+    """
+    now = current.join(frozen.select("specification_id"), "specification_id").select("specification_id", F.explode(flattened(F.col("payload"))).alias("n")).select("specification_id", "n.path", F.col("n.value").alias("current_value"))
     then = frozen.join(current.select("specification_id"), "specification_id").select("specification_id", F.explode(flattened(F.col("frozen_payload"))).alias("f")).select("specification_id", "f.path", F.col("f.value").alias("frozen_value"))
     return then.join(now, ["specification_id", "path"], "full").filter(~F.col("frozen_value").eqNullSafe(F.col("current_value"))).select("specification_id", "path", "frozen_value", "current_value")
 

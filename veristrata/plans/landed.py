@@ -354,8 +354,7 @@ def specifications(spark, sf_dir):
 @query(f"""WITH {SPECS} SELECT 'S' || k AS specification_id, p AS path, CASE p WHEN 'a.x' THEN (CASE WHEN k % 3 = 1 THEN x + 1 ELSE x END)::VARCHAR ELSE NULL END AS frozen_value, CASE p WHEN 'a.x' THEN x::VARCHAR ELSE '1' END AS current_value
 FROM (SELECT n_nationkey AS k, n_regionkey AS x, unnest(['a.x', 'a.y']) AS p FROM nation WHERE n_nationkey % 4 > 0) WHERE (p = 'a.x' AND k % 3 = 1) OR (p = 'a.y' AND k % 5 = 2)""")
 def specification_drift(spark, sf_dir):
-    now, frozen = specifications(spark, sf_dir)
-    return V.drift(now.join(frozen.select("specification_id"), "specification_id"), frozen)
+    return V.drift(*specifications(spark, sf_dir))
 
 
 @query(f"""WITH {SPECS}, r AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT frozen THEN 'NO_PREREGISTRATION_FREEZE' END, CASE WHEN frozen AND now <> was THEN 'SPECIFICATION_DRIFT_AFTER_FREEZE' END, CASE WHEN frozen AND k % 2 = 0 THEN 'FREEZE_POSTDATES_DATA_RETRIEVAL' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s)
