@@ -105,18 +105,26 @@ def is_container(title: Column, content: Column) -> Column:
 def lane(text: Column) -> Column:
     """(lane, confidence, hits): the first lane with any cue, even where its confidence is then too low.
 
-    The counts are made once a text, in an array that the choice then reads.
+    The counts are made once a text, in an array that the choice then reads. A cue's pattern is
+    only run on texts that hold the letters it begins with, which is told much faster.
     """
-    count = lambda cues: sum((F.regexp_like(low, F.lit(c)).cast("int") for c in cues), F.lit(0))
-    low = F.lower(text)
-    counted = F.transform(F.array(F.array(*[F.struct(F.lit(name).alias("lane"), count(cues).alias("n")) for name, cues in LANE_CUES])), lambda all_: F.get(F.filter(all_, lambda x: x["n"] > 0), 0))
+
+    def begins(cue: str) -> str:
+        literal, optional = re.match(r"\\b([a-z -]+)(\??)", cue).groups()
+        return literal[:-1] if optional else literal
+
+    def counted(low: Column) -> Column:
+        count = lambda cues: sum(((F.contains(low, F.lit(begins(c))) & F.regexp_like(low, F.lit(c))).cast("int") for c in cues), F.lit(0))
+        every = F.array(*[F.struct(F.lit(name).alias("lane"), count(cues).alias("n")) for name, cues in LANE_CUES])
+        return F.get(F.filter(every, lambda x: x["n"] > 0), 0)
 
     def verdict(first: Column) -> Column:
         hits = F.coalesce(first["n"], F.lit(0))
         sure = F.when(hits > 0, F.least(F.lit(0.9), F.lit(0.5) + F.lit(0.15) * hits)).otherwise(0.0)
         return F.struct(F.when(sure >= CONFIDENCE_FLOOR, first["lane"]).otherwise("UNCLASSIFIED").alias("lane"), sure.alias("confidence"), hits.cast("long").alias("hits"))
 
-    return F.get(F.transform(counted, verdict), 0)
+    # Within transform each value is made once a row, however often it is read.
+    return F.get(F.transform(F.transform(F.array(F.lower(text)), counted), verdict), 0)
 
 
 def phrases_in(text: Column, phrases: list[str]) -> Column:
