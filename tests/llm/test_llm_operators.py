@@ -238,6 +238,22 @@ def test_the_language_model_learns_from_all_training_documents(spark, odd):
     assert all(model.p[k].shape == v.shape for k, v in before.items()) and (model.p["embed"] != before["embed"]).any()
 
 
+@pytest.mark.parametrize("least", [0, 10**9])
+def test_parameters_are_trained_on_every_window(spark, odd, least):
+    """Both where documents are trained on as they are read and where their windows are staged."""
+    rng = np.random.default_rng(9)
+    docs = documents(spark, [*ODD, *[words_of(rng, 60) for _ in range(300)]]).repartition(3)
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
+    ranks = {b: i for b, i in bpe.read_ranks(PATH).items() if i < lm.SUBWORDS - 2}
+    speller = lm.Speller(ranks)
+    sizes = [len(speller.ids(lm.words_of(r.text))) + 1 for r in docs.filter(train).collect()]
+    model = lm.fit(docs, train, ranks, lm.count_words(docs, train), least=least, shard=10_000)
+    assert model.windows_met == sum(-(-n // model.half) for n in sizes)
+    plain = lm.Attention(lm.SUBWORDS, lm.subword_counts(lm.count_words(docs, train), ranks))
+    texts = [speller.ids(lm.words_of(r.text)) for r in docs.filter(~train).collect()]
+    assert lm.Scorer(model).score(texts, speller.end, speller.fill).sum() > lm.Scorer(plain).score(texts, speller.end, speller.fill).sum()
+
+
 # ------------------------------------------------------------------ classifiers
 
 
