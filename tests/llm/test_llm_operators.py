@@ -90,6 +90,33 @@ def test_contraction_equals_the_library_on_random_text():
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text)
 
 
+def test_codec_works_in_bounded_memory(monkeypatch):
+    """Queries over few pieces at a time give the same ids, and a chunk of one piece is kept once."""
+    ranks = bpe.read_ranks(PATH)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
+    work, rng = bpe.Codec(ranks, PATTERN), np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdeß"), 9)) for _ in range(30)) for _ in range(3)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in work.encode(texts)] == [encoding.encode_ordinary(t) for t in texts]
+    assert len(work.spaced.now) > 80 and not work.pieces.now
+    assert np.frombuffer(work.encode([texts[0] + ", end."])[0], "<u4").tolist() == encoding.encode_ordinary(texts[0] + ", end.")
+    assert set(work.pieces.now) == {" " + texts[0].split()[-1], ",", " end", "."}
+    work.forget()
+    assert not work.spaced.now and not work.pieces.now
+
+
+def test_a_worker_keeps_nothing_of_a_task_that_has_ended(spark, odd):
+    def kept(batches):
+        import sys
+
+        list(batches)
+        found = vars(sys.modules["_veristrata_codecs"]).values() if "_veristrata_codecs" in sys.modules else []
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(k.now) + len(k.before) for c in found if isinstance(c, bpe.Codec) for k in (c.raw, c.spaced, c.pieces))], pa.int64())], ["n"])
+
+    assert bpe.encode(odd, PATH, PATTERN).count() and len(bpe.encode(odd, PATH, PATTERN).collect()) == odd.count()
+    assert sum(r.n for r in spark.range(8).repartition(4).mapInArrow(kept, "n long").collect()) == 0
+
+
 # ------------------------------------------------------------------ quality rules
 
 
