@@ -105,6 +105,34 @@ def test_codec_works_in_bounded_memory(monkeypatch):
     assert not work.spaced.now and not work.pieces.now
 
 
+def test_a_batch_looks_each_distinct_chunk_up_once():
+    """Repeats within a batch cost no look-up, and what was met is known again after 300,000 others."""
+    ranks = bpe.read_ranks(PATH)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    work, asked = bpe.Codec(ranks, PATTERN), []
+    unmet = work.spaced.unmet
+    work.spaced.unmet = lambda keys: asked.extend(w for k in keys for w in k) or unmet(keys)
+    texts = ["the same grobnik " * 500 + "end", None, "", " ", " lead", "trail ", "a  b\n c", "tab\tx y\n", "\n", "nul\x00 \x00nul", "ÿ日 é日😀 ÿ日", "one", "the same grobnik"]
+    coded = work.encode(texts)
+    assert [np.frombuffer(i, "<u4").tolist() for i in coded] == [encoding.encode_ordinary(t or "") for t in texts]
+    assert [d.decode() for d in work.decode(coded)] == [t or "" for t in texts]
+    assert len(asked) == len(set(asked)) and {"the", "same", "grobnik", "end", "lead", ""} <= set(asked)
+    work.spaced.unmet = unmet
+    work.contract = lambda pieces: [b"\0\0\0\0"] * len(pieces)
+    for a in (0, 100_000, 200_000):
+        work.encode([" ".join(f"w{i}" for i in range(a, a + 100_000))])
+    work.contract = None
+    assert len(work.encode([" w1 w150000 w299999 w2"])[0]) > 0
+
+
+def test_every_byte_decodes(monkeypatch):
+    ranks = bpe.read_ranks(PATH)
+    monkeypatch.setattr(bpe, "DECODE_AT_ONCE", 100)
+    work, every = bpe.Codec(ranks, PATTERN), [bytes([i]) for i in range(256)] * 3
+    ids = [np.array([ranks[b] for b in every], "<u4").tobytes(), b"", np.array(sorted(ranks.values()), "<u4").tobytes()]
+    assert work.decode(ids) == [b"".join(every), b"", b"".join(sorted(ranks, key=ranks.get))]
+
+
 def test_a_worker_keeps_nothing_of_a_task_that_has_ended(spark, odd):
     def kept(batches):
         import sys

@@ -2,14 +2,14 @@
 
 Encoding. The text is cut at single spaces into chunks that the split pattern treats alone,
 each new chunk is split by the pattern into pieces, and the new pieces of a batch go to one
-recursive query: their token-position rows join the merge table, each piece's leftmost pair
-of minimum rank is contracted, and so on until no pair is left. Pieces over LONG_PIECE bytes
+recursive query as lists of tokens: their token-position rows join the merge table, each piece's
+leftmost pair of minimum rank is contracted, and so on until no pair is left. Pieces over LONG_PIECE bytes
 would take one step of the query for each merge, so they are merged by the same rule with a
 heap instead. Chunks and pieces that were seen before are kept until the task ends, up to a
 bound; texts are then looked up and joined.
 
-Decoding. Token-position rows join the vocabulary, and an ordered aggregation joins the bytes of
-each block of rows, which are then cut where sequences end.
+Decoding. Token-position rows join the vocabulary, where a character below 256 stands for each
+byte, and an ordered aggregation joins a query's rows, which are then cut where sequences end.
 
 Defined results: null and empty texts have no tokens and decode to nothing; ids out of the
 vocabulary are an error; other columns are ignored or, with `keep`, passed through.
@@ -28,17 +28,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import column, give_back, small_batches
 
 #: Bytes of a piece from which on the heap merges it, and entries that a worker keeps.
 LONG_PIECE = 256
-KEPT = 100_000
+KEPT = 200_000
 #: Bytes of text that a worker takes at once (a longer text comes alone), and pieces that one encoding query takes.
 AT_ONCE, PIECES_AT_ONCE = 1 << 19, 15_000
-#: Tokens whose bytes one aggregate joins, and blocks of them that one decoding query takes.
-BLOCK, DECODE_BLOCKS = 16_384, 16
+#: Tokens whose bytes one decoding query joins.
+DECODE_AT_ONCE = 1 << 18
 
 #: White space before a space: there the pattern's matches do not start at each space.
 RUN_OF_SPACES = re.compile(r"\s ").search
@@ -46,7 +47,7 @@ RUN_OF_SPACES = re.compile(r"\s ").search
 # The least rank and, among its places, the leftmost are the minimum of one number: a place is under 1024.
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT piece, list(token ORDER BY position) AS ids FROM positions GROUP BY piece
+  SELECT piece, ids FROM pieces
  UNION ALL
   SELECT s.piece, s.ids[:b.best % 1024 - 1] || [(b.best // 1024)::INT] || s.ids[b.best % 1024 + 2:]
   FROM state s JOIN (
@@ -57,8 +58,8 @@ WITH RECURSIVE state AS (
 SELECT piece, arg_min(ids, len(ids)) AS ids FROM state GROUP BY piece ORDER BY piece
 """
 DECODE = """
-SELECT string_agg(v.hex, '' ORDER BY t.position) AS hex
-FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY t.block ORDER BY t.block
+SELECT string_agg(v.text, '' ORDER BY t.position) AS text
+FROM tokens t JOIN vocabulary v ON v.id = t.token
 """
 
 
@@ -158,7 +159,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         merges = merge_table(ranks)  # noqa: F841  read by DuckDB
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        vocabulary = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "hex": [b.hex() for b in self.bytes_of.values()]})  # noqa: F841
+        vocabulary = pa.table({"id": pa.array(self.bytes_of, pa.int32()), "text": [b.decode("latin-1") for b in self.bytes_of.values()]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.db.execute("SET enable_progress_bar = false")
         self.forget()
@@ -170,28 +171,27 @@ class Codec:
         """Empties what is kept: ids of the chunks met, as they are and by what follows a leading space; and of pieces."""
         self.raw, self.spaced, self.pieces = Kept(KEPT // 4), Kept(KEPT), Kept(KEPT // 2)
 
-    def contract(self, pieces: Sequence[bytes]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def contract(self, pieces: Sequence[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
         asked = []
-        for k, p in enumerate(pieces):
-            if (whole := self.ranks.get(p)) is not None:
-                out[k] = np.array([whole], np.uint32)
-            elif len(p) > LONG_PIECE:
-                out[k] = np.array(merge_long(p, self.ranks), np.uint32)
+        for k, whole in enumerate(map(self.ranks.get, pieces)):
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(pieces[k]) > LONG_PIECE:
+                out[k] = np.array(merge_long(pieces[k], self.ranks), "<u4").tobytes()
             else:
                 asked.append(k)
         for at in range(0, len(asked), PIECES_AT_ONCE):
             part = asked[at : at + PIECES_AT_ONCE]
-            sizes = np.fromiter((len(pieces[k]) for k in part), np.int64, len(part))
-            flat = np.frombuffer(b"".join(pieces[k] for k in part), np.uint8)
-            position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = pa.table({"piece": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)), "position": pa.array(position.astype(np.int32)), "token": pa.array(self.byte[flat])})
-            self.db.register("positions", rows)
+            given = [pieces[k] for k in part]
+            ends = np.append(0, np.cumsum(list(map(len, given)))).astype(np.int32)
+            tokens = self.byte[np.frombuffer(b"".join(given), np.uint8)]
+            self.db.register("pieces", pa.table({"piece": pa.array(np.arange(len(part), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))}))
             ids = self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
-            self.db.unregister("positions")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.uint32)
-            for k, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.db.unregister("pieces")
+            ends, values = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype("<u4").tobytes()
+            for k, a, b in zip(part, ends[:-1], ends[1:], strict=True):
                 out[k] = values[a:b]
         return out
 
@@ -207,42 +207,57 @@ class Codec:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        raw, spaced = [], []
-        for t in texts:
-            if not t:
-                raw.append([])
-                spaced.append([])
-            elif RUN_OF_SPACES(t):
-                raw.append(self.chunks_of(t))
-                spaced.append([])
-            else:
-                first, *rest = t.split(" ")
-                raw.append([first] if first else [])
-                spaced.append(rest)
-        new_raw = self.raw.unmet(raw)
-        new_spaced = self.spaced.unmet(spaced)
+        out, chunks, plain = [b""] * len(texts), {}, []
+        for k, t in enumerate(texts):
+            if t and RUN_OF_SPACES(t):
+                chunks[k] = self.chunks_of(t)
+            elif t:
+                plain.append(k)
+        # In other texts each space begins a chunk; the distinct ones of the batch are looked up.
+        parts = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        begins, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        places, begun = coded.indices.to_numpy().astype(np.int64), begins[:-1]
+        firsts = coded.dictionary.take(pa.array(places[begun])).to_numpy(zero_copy_only=False).tolist()
+        met = np.ones(len(places), bool)
+        met[begun] = False
+        met = np.flatnonzero(np.bincount(places[met], minlength=len(coded.dictionary)))
+        words = coded.dictionary.take(pa.array(met)).to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+        new_raw = self.raw.unmet([*chunks.values(), [c for c in firsts if c]])
+        new_spaced = self.spaced.unmet([words])
         if new_raw or new_spaced:
-            found = [(self.raw, c, self.find(c)) for c in new_raw] + [(self.spaced, c, self.find(" " + c)) for c in new_spaced]
+            find = self.find
+            split_raw, split_spaced = [find(c) for c in new_raw], [find(" " + c) for c in new_spaced]
             # A chunk that is one piece is kept as a chunk alone.
-            asked = self.pieces.unmet([ps for _, _, ps in found if len(ps) > 1])
-            alone = list({ps[0] for _, _, ps in found if len(ps) == 1}.difference(self.pieces.now, asked))
-            got = [ids.astype("<u4").tobytes() for ids in self.contract([p.encode() for p in asked + alone])]
+            asked = self.pieces.unmet([ps for split in (split_raw, split_spaced) for ps in split if len(ps) > 1])
+            alone = list({ps[0] for split in (split_raw, split_spaced) for ps in split if len(ps) == 1}.difference(self.pieces.now, asked))
+            got = self.contract([p.encode() for p in asked + alone])
             self.pieces.now.update(zip(asked, got))
-            once = dict(zip(alone, got[len(asked) :], strict=True))
-            for kept, c, ps in found:
-                kept.now[c] = b"".join(once[p] if p in once else self.pieces.now[p] for p in ps)
-        one, many = self.raw.now.__getitem__, self.spaced.now.__getitem__
-        return [b"".join(map(one, a)) + b"".join(map(many, b)) for a, b in zip(raw, spaced, strict=True)]
+            ids_of = self.pieces.now | dict(zip(alone, got[len(asked) :], strict=True))
+            get = ids_of.__getitem__
+            for kept, new, split in ((self.raw, new_raw, split_raw), (self.spaced, new_spaced, split_spaced)):
+                kept.now.update(zip(new, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in split], strict=True))
+        raw, spaced = self.raw.now.__getitem__, self.spaced.now.__getitem__
+        for k, cs in chunks.items():
+            out[k] = b"".join(map(raw, cs))
+        if plain:
+            place = np.zeros(len(coded.dictionary), np.int64)
+            place[met] = np.arange(len(met))
+            places = place[places]
+            places[begun] = len(met) + np.arange(len(plain))
+            found = pa.array([*map(spaced, words), *(raw(c) if c else b"" for c in firsts)], pa.large_binary()).take(pa.array(places))
+            ends, whole = np.frombuffer(found.buffers()[1], np.int64)[begins].tolist(), found.buffers()[2].to_pybytes()
+            for k, a, b in zip(plain, ends[:-1], ends[1:], strict=True):
+                out[k] = whole[a:b]
+        return out
 
     def decode(self, ids: Sequence[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids: token-position rows join the vocabulary, and an ordered aggregation joins each block's bytes."""
+        """The bytes of each sequence of ids: token-position rows join the vocabulary, and an ordered aggregation joins their bytes."""
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        position = np.arange(len(flat), dtype=np.int32)
-        rows = pa.table({"block": pa.array(position // BLOCK), "position": pa.array(position), "token": pa.array(flat)})
+        rows = pa.table({"position": pa.array(np.arange(len(flat), dtype=np.int32)), "token": pa.array(flat)})
         parts = []
-        for at in range(0, rows.num_rows, DECODE_BLOCKS * BLOCK):
-            self.db.register("tokens", rows.slice(at, DECODE_BLOCKS * BLOCK))
-            parts += [bytes.fromhex(x) for (x,) in self.db.sql(DECODE).fetchall()]
+        for at in range(0, rows.num_rows, DECODE_AT_ONCE):
+            self.db.register("tokens", rows.slice(at, DECODE_AT_ONCE))
+            parts += [x.encode("latin-1") for (x,) in self.db.sql(DECODE).fetchall() if x]
             self.db.unregister("tokens")
         whole = b"".join(parts)
         ends = np.append(0, np.cumsum(self.size[flat]))[np.cumsum([len(x) // 4 for x in ids])].tolist() if ids else []
