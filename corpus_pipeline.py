@@ -15,6 +15,8 @@ from veristrata.llm import bpe, mixing, ngram_join, quality_rules, toxicity
 from veristrata.llm.common import stage, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Entries that a worker of the last stage keeps and bytes of text that it takes at once: executors have filled their heaps by then.
+KEPT, AT_ONCE = 40_000, 1 << 18
 #: Toxicity and a binary encoding are no SQL: the pipeline is tested stage by stage.
 ORACLE_SQL = None
 
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (32 bits each) and whether they decode to the text."""
-    coded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "source", "text"), decoded=True)
+    coded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "source", "text"), decoded=True, kept=KEPT, at_once=AT_ONCE)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

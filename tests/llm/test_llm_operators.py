@@ -125,6 +125,22 @@ def test_a_batch_looks_each_distinct_chunk_up_once():
     assert len(work.encode([" w1 w150000 w299999 w2"])[0]) > 0
 
 
+def test_the_pipeline_encodes_within_its_own_bounds(spark, odd, monkeypatch):
+    """The last stage keeps fewer entries and takes less text at once than the query; ids are the same, and a worker loads the ranks once."""
+    import corpus_pipeline as cp
+
+    given, whole = [], bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **k: given.append(k) or whole(*a, **k))
+    docs = odd.withColumn("source", F.lit("s"))
+    mine = {r.doc_id: bytes(r.ids) for r in cp.encode(spark, docs, "").collect() if r.round_trip}
+    assert given[0]["kept"] <= bpe.KEPT // 4 and given[0]["at_once"] <= bpe.AT_ONCE // 2
+    assert mine == {r.doc_id: bytes(r.ids) for r in whole(odd, PATH, PATTERN).collect()} == {r.doc_id: bytes(r.ids) for r in whole(odd, PATH, PATTERN, kept=4, at_once=1).collect()}
+    work = bpe.codec(lambda: bpe.read_ranks(PATH), PATTERN, "test_bounds")
+    work.forget(8)
+    assert (work.raw.most, work.spaced.most, work.pieces.most) == (2, 8, 4)
+    assert bpe.codec(None, PATTERN, "test_bounds") is work
+
+
 def test_every_byte_decodes(monkeypatch):
     ranks = bpe.read_ranks(PATH)
     monkeypatch.setattr(bpe, "DECODE_AT_ONCE", 100)

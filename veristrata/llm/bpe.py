@@ -24,7 +24,7 @@ import re
 import sys
 import types
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -167,9 +167,9 @@ class Codec:
         self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         give_back()  # what the tables above were made from
 
-    def forget(self) -> None:
+    def forget(self, kept: int = KEPT) -> None:
         """Empties what is kept: ids of the chunks met, as they are and by what follows a leading space; and of pieces."""
-        self.raw, self.spaced, self.pieces = Kept(KEPT // 4), Kept(KEPT), Kept(KEPT // 2)
+        self.raw, self.spaced, self.pieces = Kept(kept // 4), Kept(kept), Kept(kept // 2)
 
     def contract(self, pieces: Sequence[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -266,27 +266,32 @@ class Codec:
         return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def codec(ranks: dict[bytes, int], pattern: str, name: str) -> Codec:
-    """One codec for each vocabulary and worker; a worker serves many tasks."""
+def codec(ranks: Callable[[], dict[bytes, int]], pattern: str, name: str) -> Codec:
+    """One codec for each vocabulary and worker; a worker serves many tasks. ranks is called for a new one only."""
     home = sys.modules.setdefault("_veristrata_codecs", types.ModuleType("_veristrata_codecs"))
     found = getattr(home, name, None)
     if found is None:
-        found = Codec(ranks, pattern)
+        found = Codec(ranks(), pattern)
         setattr(home, name, found)
     return found
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
-    """The columns `keep`, ids (binary, 32 bits each) and, if asked for, the bytes that they decode to."""
+def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc_id",), decoded: bool = False, kept: int = KEPT, at_once: int = AT_ONCE) -> DataFrame:
+    """The columns `keep`, ids (binary, 32 bits each) and, if asked for, the bytes that they decode to.
+
+    Entries kept and bytes at once are what a worker's memory goes by, besides its batch; fewer of them take more time, and the
+    ids are the same."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     name = "v" + hashlib.md5((path + pattern).encode()).hexdigest()
     fields = docs.select(*[f"`{c}`" for c in keep]).schema
     text = f"k{list(keep).index('text')}" if "text" in keep else "text_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = codec(ranks.value, pattern, name)
+        work = codec(lambda: ranks.value, pattern, name)
+        work.forget(kept)
+        batch = ids = columns = None
         try:
-            for batch in small_batches(batches, text, AT_ONCE):
+            for batch in small_batches(batches, text, at_once):
                 ids = work.encode(column(batch, text).to_pylist())
                 columns = [batch.column(i) for i in range(len(keep))] + [pa.array(ids, pa.binary())]
                 if decoded:
@@ -294,6 +299,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: Sequence[str] = ("doc
                 yield pa.RecordBatch.from_arrays(columns, [f"k{i}" for i in range(len(keep))] + ["ids_", "decoded_"][: 1 + decoded])
         finally:
             # The worker outlives the task, and other work may follow in it.
+            batch = ids = columns = None  # noqa: F841
             work.forget()
             give_back()
 
@@ -314,7 +320,7 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [x or b"" for x in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(codec(ranks.value, pattern, name).decode(ids), pa.binary())], ["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(codec(lambda: ranks.value, pattern, name).decode(ids), pa.binary())], ["doc_id", "decoded"])
 
     from pyspark.sql import types as T
 

@@ -100,7 +100,7 @@ class Library:
 
     def __call__(self, text: str) -> np.ndarray:
         if LONG_SPACE(text):
-            return np.frombuffer(bpe.codec(self.ranks, self.pattern, self.name).encode([text])[0], "<u4")
+            return np.frombuffer(bpe.codec(lambda: self.ranks, self.pattern, self.name).encode([text])[0], "<u4")
         return np.array(self.fast(text), "<u4")
 
 
